@@ -1,0 +1,197 @@
+"""Labelled rows from which the residue models are fitted: fixed values, at most ``LIMIT`` short texts for each kind.
+
+They are phrases of the kinds of residue found on the web and in forms, in the languages of the corpus; the model of
+natural prose is fitted on the corpus itself.
+"""
+
+LIMIT = 120
+
+ERRORS = (
+    "Internal server error. The administrator has been informed.",
+    "Error 500: internal server error",
+    "Error 502: bad gateway while loading the page.",
+    "503 Service temporarily unavailable, please retry in a few minutes.",
+    "504 gateway timeout. The upstream server timed out.",
+    "404 - the page you asked for does not exist.",
+    "Error 404: page not found. The requested page could not be found.",
+    "The requested record could not be found (code 404).",
+    "Access denied. You do not have permission to view this page.",
+    "403 forbidden. You do not have permission to access this album on this server.",
+    "Your session has expired. Sign in again to continue.",
+    "Too many requests. Slow down and reload the page.",
+    "Something went wrong on our side. Reference 10293.",
+    "An unexpected error occurred. Please try again later.",
+    "The server is down for maintenance.",
+    "<h1>503</h1><p>The site is down for maintenance.</p>",
+    "This gallery has been removed by its owner.",
+    "This content is no longer available.",
+    "Could not load image list. Loading...",
+    "Failed to load resource: the server responded with a status of 500",
+    "Traceback (most recent call last): File \"app.py\", line 10, in load: ConnectionError: upstream timed out",
+    "Warning: undefined index id in /srv/www/show.php on line 12",
+    "Fatal error: uncaught exception in /var/www/index.php on line 7",
+    "{\"status\": 404, \"message\": \"not found\", \"trace\": 1}",
+    "{\"error\": \"photo not found\", \"code\": 404}",
+    "undefined undefined undefined [object Object]",
+    "NaN null undefined [object Object]",
+    "Limit reached, preview blocked for address block 10.",
+    "Rate limit exceeded, your address has been blocked.",
+    "Database connection failed.",
+    "Lỗi 404: không tìm thấy trang.",
+    "Lỗi 404: không tìm thấy trang ảnh.",
+    "Không tìm thấy nội dung yêu cầu.",
+    "Đã xảy ra lỗi khi tải ảnh (mã 500).",
+    "Đã xảy ra lỗi, vui lòng thử lại sau.",
+    "Máy chủ đang bận, vui lòng thử lại sau.",
+    "Bạn không có quyền xem thư mục này.",
+    "Phiên đăng nhập đã hết hạn, hãy đăng nhập lại.",
+    "Error 404: la página no existe.",
+    "Error 404: la página de la foto no existe.",
+    "Acceso denegado a este álbum.",
+    "La sesión ha caducado, vuelva a entrar.",
+    "Servicio no disponible, inténtelo más tarde.",
+    "Se ha producido un error al cargar la página.",
+)
+NOTICES = (
+    "Please enable JavaScript to view this page.",
+    "Please enable JavaScript to view the gallery.",
+    "JavaScript is switched off. The page cannot be displayed without it.",
+    "You need to enable JavaScript to run this app.",
+    "JavaScript is disabled in your browser.",
+    "<noscript>Scripts are required for this site.</noscript>",
+    "<noscript>Scripts are required for the album.</noscript>",
+    "This viewer needs scripts. Turn them on in your browser settings and reload.",
+    "Your browser is not supported; switch on scripting to continue.",
+    "Your browser does not support scripts.",
+    "You need to allow cookies before the page can be shown.",
+    "You need to allow cookies before the photos can be shown.",
+    "We use cookies. Accept cookies to continue.",
+    "We use cookies. Accept all / Reject all / Settings.",
+    "This site uses cookies to improve your experience.",
+    "Checking your browser before opening the site, this takes a few seconds.",
+    "Checking if the site connection is secure.",
+    "Confirm that you are not a robot to see the page.",
+    "Verify you are human by completing the action below.",
+    "Vui lòng bật JavaScript để xem trang.",
+    "Vui lòng bật JavaScript để xem ảnh khay.",
+    "Trình duyệt của bạn đang tắt script, trang không hiển thị được.",
+    "Hãy cho phép cookie để tiếp tục.",
+    "Active JavaScript para ver la página.",
+    "Active JavaScript para ver la galería.",
+    "Su navegador tiene los scripts desactivados; la página no puede mostrarse.",
+    "Acepte las cookies para continuar.",
+)
+FILLER = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
+    "Lorem ipsum velunt tandis frem munc dorsi setrin dolam hosti ulvis pellam quantem caluna mirec orpil vestra idola nerat ostara.",
+    "Nerat orpil ulvis hosti tandis caluna velunt ostara munc pellam setrin idola frem vestra dorsi mirec dolam quantem.",
+    "test test test test test test",
+    "sample sample sample sample",
+    "asdf asdf asdf asdf qwe qwe qwe qwe",
+    "xxx xxx xxx xxx xxx",
+    "abc abc abc abc abc",
+    "1234567890 1234567890",
+    "n/a n/a n/a n/a",
+    "TODO TODO TODO",
+    "TBD TBD to be determined",
+    "coming soon",
+    "Sample note 1 coming soon",
+    "Content coming soon. Check back later.",
+    "description pending, description pending",
+    "to be written",
+    "Sample note 2 to be written",
+    "Text goes here. Text goes here.",
+    "Your caption here. Your caption here.",
+    "Your text here. Insert text here.",
+    "Replace this paragraph before publishing.",
+    "This is placeholder text.",
+    "Under construction",
+    "------------------------",
+    "........................",
+    "========================",
+    "thử thử thử thử thử",
+    "Nội dung mẫu. Nội dung mẫu.",
+    "sắp cập nhật",
+    "Sample note 3 sắp cập nhật",
+    "Nội dung đang được cập nhật.",
+    "Texto de relleno. Texto de relleno.",
+    "por completar",
+    "Sample note 4 por completar",
+    "Texto de ejemplo. Próximamente.",
+)
+# headings and page navigation: no part of the body
+FRAME = (
+    "Home | Albums | Sign in",
+    "Home | About | Contact",
+    "Menu",
+    "Search...",
+    "Back to start",
+    "Back to top",
+    "Skip to content",
+    "(c) the gallery team",
+    "Copyright, all rights reserved",
+    "Accept all / Reject all / Settings",
+    "Trang chủ | Liên hệ",
+    "Inicio | Ayuda",
+    "Inicio | Contacto",
+    "Session A00-000 summary",
+    "Session A-00000 summary",
+    "Lot sheet A00-000",
+    "Lot sheet A-00000",
+    "Notes for A00-000",
+    "Notes for A-00000",
+    "Re: tray photos, A00-000",
+    "Re: tray photos, A-00000",
+    "A00-000 / second look",
+    "A-00000 / second look",
+    "Tóm tắt phiên A00-000",
+    "Phiếu lô A00-000",
+    "Ghi chú A00-000",
+    "Về ảnh khay, A00-000",
+    "Resumen de la sesión A00-000",
+    "Hoja de lote A00-000",
+    "Notas de A00-000",
+)
+# sentences that explain or forbid a template field instead of leaving one; X stands for the field
+MENTIONS = (
+    "The form uses X as its merge field, and the exporter fills it before saving.",
+    "The intake form still uses X as its merge field.",
+    "The template contains the variable X, which is replaced on export.",
+    "Reviewers are told never to leave X in the column.",
+    "Never leave X in the evidence column.",
+    "File names follow X_X_X.",
+    "Class names are written as X::X in every sheet.",
+    "The naming scheme is X/X.",
+    "The syntax X marks a field of the template.",
+    "The placeholder X was filled before publication.",
+    "Tên lớp luôn viết theo dạng X::X.",
+    "Tên tệp theo mẫu X_X.",
+    "Mẫu phiếu dùng X làm ô trộn và đã được điền trước khi lưu.",
+    "Không được để X trong cột bằng chứng.",
+    "Las clases se escriben X::X.",
+    "Los nombres de archivo siguen X_X.",
+    "El formulario usa X como campo y se rellena al guardar.",
+    "No dejar nunca X en la columna de evidencia.",
+)
+# sentences of forms in which a field was left
+LEFT = (
+    "Dear X, your order was received.",
+    "Dear X, thank you.",
+    "Hello X,",
+    "Reviewer: X",
+    "Name: X",
+    "Date: X",
+    "See X for the licence.",
+    "This sample belongs to X.",
+    "Photographed on X at X.",
+    "Kính gửi X, khay đã nhận.",
+    "Người duyệt: X",
+    "Chụp ngày X tại X.",
+    "Mẫu này thuộc X.",
+    "Revisora: X",
+    "Foto tomada el X en X.",
+    "La muestra pertenece a X.",
+    "Estimada X, gracias.",
+)
