@@ -43,25 +43,27 @@ def clean(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit(""))
 
 
+def _folded(c: Column) -> Column:
+    """NFC and case folding, with the reflective calls only for values beyond ASCII."""
+    beyond = _icu("com.ibm.icu.lang.UCharacter", "foldCase", _icu("com.ibm.icu.text.Normalizer", "compose", c, False), True)
+    return F.when(c.rlike(NON_ASCII), beyond).otherwise(F.lower(c))
+
+
 def identity(c: Column) -> Column:
     """Comparable form of group_id, split, sha256, pixel_sha256 and phash63; null where there is no value."""
-    v = fold(nfc(strip(c)))
-    return F.when(~v.isin(*NO_VALUE), v)
+    s = strip(c)
+    return F.when(~F.lower(s).isin(*NO_VALUE), _folded(s))
 
 
 def path_key(c: Column) -> Column:
     """Path identity: ``\\`` as ``/``, letter case, Unicode composition and outer white space ignored; empty is null."""
-    v = fold(nfc(F.translate(strip(c), "\\", "/")))
-    return F.when(v != "", v)
+    s = F.translate(strip(c), "\\", "/")
+    return F.when(s != "", _folded(s))
 
 
 def norm(c: Column) -> Column:
     """Path identity that also collapses inner white space."""
-    return F.regexp_replace(path_like(c), r"(?U)\s+", " ")
-
-
-def path_like(c: Column) -> Column:
-    return fold(nfc(strip(c)))
+    return F.regexp_replace(_folded(strip(c)), r"(?U)\s+", " ")
 
 
 def known(c: Column) -> Column:

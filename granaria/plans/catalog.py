@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granaria.plans import quality
+from granaria.plans import audits, curation, evaluation, quality
 
-MODULES = (quality,)
+MODULES = (quality, audits, curation, evaluation)
 
 
 def queries() -> dict:
