@@ -2,12 +2,13 @@
 
 Method: a weighted cosine join between the train records and the others. A fingerprint is a vector of terms, one for
 each pair of its seven 9-bit blocks; a term's squared weight is the sum of its two block weights, and a block value
-weighs more the rarer it is. Block counts are a table of at most 7 * 512 rows, whatever the input. Two fingerprints
-within 4 bits agree on three blocks or more, so their dot product is at least twice the sum of the three least block
-weights of either: the bound. Terms are put in order of falling weight; the tail whose sum of squared weights stays
-below the bound cannot reach it alone, so only the terms before it go into the inverted lists (maximum-weight and
-residual-norm pruning; it is the most frequent values that are left out). Pairs that meet in a list are verified by
-their bits, and the dot product is computed exactly. The two content hashes are terms of their own that decide alone.
+weighs more the rarer it is. Block counts are a table of at most 7 * 512 rows, whatever the input. Fingerprints within
+4 bits share three blocks or more, so their dot product is at least twice the sum of the three least block weights of
+either. The terms of a fingerprint's own lightest (most frequent) block are its residual and stay out of the inverted
+lists: of three shared blocks the two heaviest are the lightest of neither side, so their term, the one of maximum
+weight, is in the lists of both. Weights of shared blocks are equal on both sides and ties go by position, which makes
+that exact. Pairs that meet in a list are verified by their bits, and the dot product is computed exactly. The two
+content hashes are terms of their own that decide alone.
 
 All joins run over distinct values (classes); records are attached through membership, and counts come from the counts of
 classes, without expanding copies into pairs.
@@ -32,7 +33,6 @@ from granaria.session import Workspace
 
 BLOCKS, DISTANCE = 7, 4
 LAYOUT = block_layout(BLOCKS)
-SHARED = BLOCKS - DISTANCE
 
 
 @dataclass(frozen=True)
@@ -41,54 +41,43 @@ class Overlap:
     links: DataFrame  # fp_a (train), fp_b (val or test), distance, cosine
 
 
-def block_weights(prints: DataFrame) -> list[float]:
-    """Weights by block and value, as one list of BLOCKS * 512 numbers."""
+def block_weights(prints: DataFrame) -> list[int]:
+    """Weights by block and value, as one list of BLOCKS * 512 whole numbers (thousandths)."""
     pieces = F.explode(F.array(*[F.lit(i << 9).bitwiseOR(block(F.col("fp"), *LAYOUT[i]).cast("int")) for i in range(BLOCKS)]))
     counted = prints.select(pieces.alias("b")).groupBy("b").count().collect()  # at most BLOCKS * 512 rows
     total = sum(r["count"] for r in counted) / BLOCKS
-    out = [math.log(2 + total)] * (BLOCKS << 9)
+    out = [round(1000 * math.log(2 + total))] * (BLOCKS << 9)
     for r in counted:
-        out[r["b"]] = math.log(1 + total / r["count"])
+        out[r["b"]] = 1 + round(1000 * math.log(1 + total / r["count"]))
     return out
 
 
-def _weight_array(weights: list[float]) -> Column:
-    return F.expr("array(" + ",".join(f"{w!r}D" for w in weights) + ")")
+def _weights_of(fp: Column) -> Column:
+    """Array of the seven block weights of a fingerprint, from the one-row table's column ``table``."""
+    return F.array(*[F.get("table", F.lit(i << 9).bitwiseOR(block(fp, *LAYOUT[i]).cast("int"))) for i in range(BLOCKS)])
 
 
-def _block_weights_of(fp: Column, table: Column) -> list[Column]:
-    return [F.get(table, F.lit(i << 9).bitwiseOR(block(fp, *LAYOUT[i]).cast("int"))) for i in range(BLOCKS)]
-
-
-def index_terms(prints: DataFrame, weights: list[float]) -> DataFrame:
+def index_terms(prints: DataFrame, weights: DataFrame) -> DataFrame:
     """(fp, key) for the terms of each distinct fingerprint that the pruning leaves."""
-    table = _weight_array(weights)
-    a = prints.select("fp", F.array(*_block_weights_of(F.col("fp"), table)).alias("a"))
+    a = prints.crossJoin(F.broadcast(weights)).select("fp", _weights_of(F.col("fp")).alias("a"))
+    lightest = F.array_position("a", F.array_min("a")) - 1  # the first on a tie
+    a = a.select("fp", lightest.cast("int").alias("light"))
     terms = []
     for n, (i, j) in enumerate(combinations(range(BLOCKS), 2)):
         bits = F.shiftleft(block(F.col("fp"), *LAYOUT[i]), LAYOUT[j][1]).bitwiseOR(block(F.col("fp"), *LAYOUT[j]))
-        terms.append(F.struct((F.col("a")[i] + F.col("a")[j]).alias("q"), bits.bitwiseOR(F.lit(n << 40)).alias("key")))
-    bound = (SHARED - 1) * F.aggregate(F.slice(F.array_sort("a"), 1, SHARED), F.lit(0.0), lambda s, x: s + x)
-    ordered = a.select("fp", F.array_sort(F.array(*terms)).alias("t"), (bound * (1 - 1e-9)).alias("bound"))
-    # from the lightest term on: a term is indexed once the sum up to and with it reaches the bound
-    kept = F.aggregate(
-        "t",
-        F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<bigint>").alias("keys")),
-        lambda s, x: F.struct((s["sum"] + x["q"]).alias("sum"), F.when(s["sum"] + x["q"] >= F.col("bound"), F.array_append(s["keys"], x["key"])).otherwise(s["keys"]).alias("keys")),
-        lambda s: s["keys"],
-    )
-    return ordered.select("fp", F.explode(kept).alias("key"))
-
-
-def cosine(fp_a: Column, fp_b: Column, weights: list[float]) -> Column:
+        terms.append(F.when(~F.col("light").isin(i, j), bits.bitwiseOR(F.lit(n << 40))))
+    return a.select("fp", F.explode(F.array(*terms)).alias("key")).where("key is not null")
+
+
+def with_cosine(links: DataFrame, weights: DataFrame) -> DataFrame:
     """Exact dot product over the shared terms, by the norms. Of k shared blocks each takes part in k - 1 shared terms."""
-    table = _weight_array(weights)
-    difference = fp_a.bitwiseXOR(fp_b)
-    shared = [(block(difference, *LAYOUT[i]) == 0).cast("int") for i in range(BLOCKS)]
-    wa, wb = _block_weights_of(fp_a, table), _block_weights_of(fp_b, table)
-    total = lambda xs: sum(xs[1:], xs[0])
-    dot = (total(shared) - 1) * total([s * w for s, w in zip(shared, wa, strict=True)])
-    return F.greatest(F.lit(0.0), dot) / ((BLOCKS - 1) * F.sqrt(total(wa) * total(wb)))
+    x = links.crossJoin(F.broadcast(weights)).select(*links.columns, _weights_of(F.col("fp_a")).alias("wa"), _weights_of(F.col("fp_b")).alias("wb"))
+    difference = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    same = F.array(*[block(difference, *LAYOUT[i]) == 0 for i in range(BLOCKS)])
+    x = x.withColumn("shared", F.filter(F.zip_with("wa", same, lambda w, s: F.when(s, w)), lambda w: w.isNotNull()))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, w: s + w)
+    dot = (F.size("shared") - 1) * total("shared")
+    return x.select(*links.columns, (F.greatest(F.lit(0.0), dot) / ((BLOCKS - 1) * F.sqrt(total("wa") * total("wb")))).alias("cosine"))
 
 
 def find_overlap(manifest: DataFrame, quality: DataFrame) -> Overlap:
@@ -96,12 +85,13 @@ def find_overlap(manifest: DataFrame, quality: DataFrame) -> Overlap:
     prints = manifest_prints(manifest, quality, identity(F.col("split")).alias("split"), "source")
     prints = ws.save(prints.where(F.col("split").isin("train", "val", "test")), "prints")
     sided = ws.save(prints.where("fp is not null").groupBy("fp").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval")), "sided")
-    weights = block_weights(sided)
+    # one row, at most BLOCKS * 512 numbers
+    weights = ws.save(manifest.sparkSession.createDataFrame([(block_weights(sided),)], "table array<int>"), "weights")
     lists = index_terms(sided.where("in_train"), weights).select(F.col("fp").alias("fp_a"), "key")
     queries = index_terms(sided.where("in_eval"), weights).select(F.col("fp").alias("fp_b"), "key")
     met = lists.join(queries, "key").where(hamming(F.col("fp_a"), F.col("fp_b")) <= DISTANCE).select("fp_a", "fp_b").distinct()
-    links = met.select("fp_a", "fp_b", hamming(F.col("fp_a"), F.col("fp_b")).alias("distance"), cosine(F.col("fp_a"), F.col("fp_b"), weights).alias("cosine"))
-    return Overlap(prints, ws.save(links, "links"))
+    met = met.select("fp_a", "fp_b", hamming(F.col("fp_a"), F.col("fp_b")).alias("distance"))
+    return Overlap(prints, ws.save(with_cosine(met, weights), "links"))
 
 
 def overlap_pairs(o: Overlap) -> DataFrame:
