@@ -39,6 +39,7 @@ DOMAINS = {
     "guidance": ("storage_guides", "training_handouts", "model_cards", "defence_qa", "grower_letters"),
 }
 BUCKETS = 4096
+PIECE = 200_000
 
 
 def source_key(c: Column) -> Column:
@@ -47,6 +48,23 @@ def source_key(c: Column) -> Column:
     return F.when(v != "", v)
 
 
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """A long text in pieces of at most ``size`` characters, cut before blanks, where the tokenizer starts anew anyway.
+
+    Only a run of ``size`` characters without a blank, or of nothing but blanks, is cut inside.
+    """
+    at = 0
+    while len(text) - at > size:
+        cut = max(text.rfind(" ", at + 1, at + size), text.rfind("\n", at + 1, at + size))
+        while cut > at + 1 and text[cut - 1].isspace():
+            cut -= 1
+        if cut <= at + 1:
+            cut = at + size
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def count_tokens(documents: DataFrame, path: str = TOKENIZERS, *keep: Column) -> DataFrame:
     """(doc_id, tokens, *keep); tokens of the whole text."""
 
@@ -59,7 +77,7 @@ def count_tokens(documents: DataFrame, path: str = TOKENIZERS, *keep: Column) ->
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoder = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for x in batches:
-            x["tokens"] = [len(encoder.encode_ordinary(t)) if t else 0 for t in x["text"]]
+            x["tokens"] = [sum(len(encoder.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in x["text"]]
             yield x.drop(columns="text")
 
     chosen = documents.select("doc_id", "text", *keep)

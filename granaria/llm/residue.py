@@ -32,6 +32,9 @@ WINDOW = 21
 #: A window is residue from this mean ratio on; a document from this share of its body on.
 CUT = 0.0
 COVERAGE = 0.5
+#: Characters scored at once, and the reach of a sentence around a placeholder.
+PIECE = 1 << 18
+REACH = 2000
 #: Weight of the prose model in a kind's own model, in n-grams.
 BACKING = 40.0
 KINDS = ("error", "notice", "filler", "frame")
@@ -62,12 +65,17 @@ QUOTES = {'"': '"', "'": "'", "`": "`", "“": "”", "‘": "’", "«": "»",
 ECHO = re.compile(r"(?<!\w)([^\W\d_]{1,20}(?:/[^\W\d_]{1,4})?)(?:[\s.,;|]+\1(?!\w)){2,}|([-=_.*~#])\2{5,}")
 
 
+MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+BLANKS = re.compile(r"\s+")
+PLAIN = {ord("đ"): "d"} | {ord(c): "0" for c in "0123456789"}
+
+
 def fold(text: str) -> str:
-    """Lower case without accents, digits as 0, white space as single blanks; as long or shorter than the text."""
-    t = unicodedata.normalize("NFKD", text.lower())
-    t = "".join(c for c in t if not unicodedata.combining(c)).replace("đ", "d")
-    t = re.sub(r"\d", "0", t)
-    return re.sub(r"\s+", " ", t).strip()
+    """Lower case without accents, digits as 0, white space as single blanks."""
+    t = text.lower()
+    if not t.isascii():
+        t = MARKS.sub("", unicodedata.normalize("NFKD", t))
+    return BLANKS.sub(" ", t.translate(PLAIN)).strip()
 
 
 def grams(text: str) -> np.ndarray:
@@ -75,7 +83,7 @@ def grams(text: str) -> np.ndarray:
     codes = np.frombuffer((" " * (ORDER - 1) + text).encode("utf-32-le"), np.uint32).astype(np.uint64)
     h = np.zeros(len(text), np.uint64)
     for i in range(ORDER):
-        h = h * np.uint64(0x9E3779B97F4A7C15 | 1) + codes[i : i + len(text)] + np.uint64(1)
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(text)] + np.uint64(1)
         h ^= h >> np.uint64(29)
     return (h % np.uint64(SLOTS)).astype(np.int64)
 
@@ -93,11 +101,16 @@ def count_prose(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS, np.int64)
         for x in batches:
+            held, size = [], 0
             for t in x["text"]:
                 if t:
-                    total += np.bincount(grams(fold(t)), minlength=SLOTS) if len(t) > SLOTS else 0
-                    if len(t) <= SLOTS:
-                        np.add.at(total, grams(fold(t)), 1)
+                    held.append(grams(fold(t)))
+                    size += len(held[-1])
+                if size >= SLOTS:
+                    total += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=SLOTS)
         slots = np.flatnonzero(total)
         yield pd.DataFrame({"slot": slots, "n": total[slots]})
 
@@ -124,45 +137,58 @@ def _quoted(text: str, begin: int, end: int) -> bool:
     return before in QUOTES and after == QUOTES[before]
 
 
+def _sentence(text: str, begin: int, end: int) -> tuple[int, int]:
+    """Bounds of the sentence or line around a span, at most REACH characters to either side."""
+    low, high = max(0, begin - REACH), min(len(text), end + REACH)
+    start = max((text.rfind(p, low, begin) for p in ("\n", ". ", "! ", "? ")), default=-1)
+    stop = min((i for i in (text.find(p, end, high) for p in ("\n", ". ", "! ", "? ")) if i >= 0), default=high)
+    return (start + 1 if start >= 0 else low), stop
+
+
 def left_fields(text: str, model: dict[str, np.ndarray]) -> list[str]:
     """Placeholders left where a value belongs: neither markup, nor quoted, nor explained by their sentence."""
+    spans = [m.span() for m in FIELD.finditer(text)]
+    if not spans:
+        return []
+    closed = set(re.findall(r"</([a-z]\w*)>", text.lower()))
     found = []
-    spans = []
-    low = text.lower()
-    for m in FIELD.finditer(text):
-        f = m.group(0)
-        if f[0] == "<" and f[1] not in "<%":
-            name = f[1:-1].lower()
-            if name in TAGS or f"</{name}>" in low:
-                continue
-        spans.append(m.span())
     for begin, end in spans:
+        f = text[begin:end]
+        if f[0] == "<" and f[1] not in "<%" and (f[1:-1].lower() in TAGS or f[1:-1].lower() in closed):
+            continue
         if _quoted(text, begin, end):
             continue
-        start = max(text.rfind("\n", 0, begin), max((text.rfind(p, 0, begin) for p in (". ", "! ", "? ")), default=-1)) + 1
-        stop = min((i for i in (text.find(p, end) for p in ("\n", ". ", "! ", "? ")) if i >= 0), default=len(text))
-        sentence = FIELD.sub("X", text[start:stop])
-        g = grams(fold(sentence))
+        start, stop = _sentence(text, begin, end)
+        g = grams(fold(FIELD.sub("X", text[start:stop])))
         if len(g) and float(model["mention"][g].mean()) > max(0.0, float(model["left"][g].mean())):
             continue
-        found.append(text[begin:end].strip())
+        found.append(f.strip())
     return found
 
 
+def _labels(t: str, low: int, high: int, model: dict[str, np.ndarray]) -> np.ndarray:
+    """Kind of each character of t[low:high], -1 for prose, from windows centred on it."""
+    half = WINDOW // 2
+    first, last = max(0, low - half), min(len(t), high + half)
+    g = grams(t[max(0, first - ORDER + 1) : last])[-(last - first) :]
+    sums = np.zeros((len(KINDS), last - first + 1), np.float64)
+    for i, k in enumerate(KINDS):
+        np.cumsum(model[k][g], out=sums[i, 1:], dtype=np.float64)
+    at = np.arange(low, high)
+    a, b = np.maximum(at - half, 0) - first, np.minimum(at + half + 1, len(t)) - first
+    mean = (sums[:, b] - sums[:, a]) / (b - a)
+    return np.where(mean.max(axis=0) > CUT, mean.argmax(axis=0), -1).astype(np.int8)
+
+
 def residue_shares(text: str, model: dict[str, np.ndarray]) -> tuple[dict[str, float], float]:
-    """Share of the body that is residue of each kind, and the length of the body in characters."""
+    """Share of the body that is residue of each kind, and the length of the body in characters.
+
+    Long texts are scored in pieces that overlap by a window, so memory stays bounded and every character counts.
+    """
     t = fold(text)
     if not t:
         return {}, 0.0
-    g = grams(t)
-    scores = np.stack([model[k][g] for k in KINDS])
-    width = min(WINDOW, len(t))
-    total = np.cumsum(np.concatenate([np.zeros((len(KINDS), 1)), scores], axis=1), axis=1)
-    at = np.arange(len(t))
-    low, high = np.maximum(at - width // 2, 0), np.minimum(at + width // 2 + 1, len(t))
-    mean = (total[:, high] - total[:, low]) / (high - low)
-    best, value = mean.argmax(axis=0), mean.max(axis=0)
-    label = np.where(value > CUT, best, -1)
+    label = np.concatenate([_labels(t, i, min(i + PIECE, len(t)), model) for i in range(0, len(t), PIECE)])
     for m in ECHO.finditer(t):
         label[m.start() : m.end()] = KINDS.index("filler")
     letters = np.frombuffer(t.encode("utf-32-le"), np.uint32) != 32
