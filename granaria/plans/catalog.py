@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granaria.plans import audits, curation, evaluation, quality
+from granaria.plans import audits, curation, evaluation, modelling, quality
 
-MODULES = (quality, audits, curation, evaluation)
+MODULES = (quality, audits, curation, evaluation, modelling)
 
 
 def queries() -> dict:

@@ -18,6 +18,7 @@ from granaria.operators import summary as S
 from granaria.operators.components import connected_components
 from granaria.operators.hamming import near_pairs
 from granaria.plans.common import quality, rec
+from granaria.plans.curation_sql import SQL  # noqa: F401
 from granaria.session import table
 
 SPLIT_SET = (*P.SPLITS, "")
@@ -300,5 +301,3 @@ QUERIES = {
         filename_kinds, filename_families, parent_families, provenance_classes, provenance_report, upsert_merge, version_record, group_split_update, union_counts, content_hashes, path_parts,
     )
 }
-
-from granaria.plans.curation_sql import SQL  # noqa: E402, F401
