@@ -39,6 +39,11 @@ def _record(raw: Column) -> Column:
     return F.regexp_replace(F.coalesce(raw, F.lit("")), "^\\uFEFF|\\r\\z", "")
 
 
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Adds ``_p``, the record cut at its quotes, as a generated column: it is computed once for each record."""
+    return rows.select("_key", "_text", F.explode(F.array(F.split(_record(F.col("_text")), '"', -1))).alias("_p"))
+
+
 def _well_quoted(pieces: Column) -> Column:
     last = F.size(pieces) - 1
     bad = F.transform(
@@ -83,16 +88,18 @@ def valid_values(f: Column) -> Column:
 
 def strict_load(raw: DataFrame, key: str = "line_id", text: str = "raw_line") -> Loaded:
     """``rows``: the key and the seven typed fields of every record that conforms; ``rejected``: key, text and reason."""
-    pieces = F.split(_record(F.col(text)), '"', -1)
-    cut = raw.select(F.col(key).alias("_key"), F.col(text).alias("_text"), pieces.alias("_p")).select("_key", "_text", "_p", F.when(_well_quoted(F.col("_p")), _fields(F.col("_p"))).alias("_f"))
+    cut = _pieces(raw.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
+    fields = F.when(_well_quoted(F.col("_p")), _fields(F.col("_p")))
+    # one-element arrays: a filter on what they hold is not pushed below them, where it would repeat their work
+    cut = cut.select("_key", F.explode(F.array(fields)).alias("_f"))
     conforms = F.coalesce((F.size("_f") == len(FIELDS)) & valid_values(F.col("_f")), F.lit(False))
     rows = cut.where(conforms).select(F.col("_key").alias(key), *[F.col("_f")[i].alias(name) for i, name in enumerate(FIELDS)])
     rows = rows.withColumn("split", F.when(F.col("split") != "", F.col("split")))
-    remainder = raw.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(rows.select(F.col(key).alias("_key")), "_key", "left_anti")
-    again = F.split(_record(F.col("_text")), '"', -1)
+    loaded = rows.select(F.col(key).alias("_key"))
+    remainder = _pieces(raw.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(loaded, "_key", "left_anti"))
     rejected = remainder.select(
         F.col("_key").alias(key),
         F.col("_text").alias(text),
-        F.when(~_well_quoted(again), "quoting").when(F.size(_fields(again)) != len(FIELDS), "columns").otherwise("value").alias("reason"),
+        F.when(~_well_quoted(F.col("_p")), "quoting").when(F.size(_fields(F.col("_p"))) != len(FIELDS), "columns").otherwise("value").alias("reason"),
     )
     return Loaded(rows, rejected)

@@ -58,7 +58,7 @@ SELECT s.source, l.label, p.part FROM (SELECT DISTINCT source FROM r WHERE sourc
     "audit_counts": f"""WITH {REC}, {QUAL} SELECT count(*) AS records, count(DISTINCT sha) AS digests, count(DISTINCT grp) AS groups, count(DISTINCT path_k) AS paths, count(*) FILTER (part IS NULL) AS unassigned, count(*) FILTER (width IS NULL) AS unmeasured, count(*) FILTER (fp IS NULL) AS without_fingerprint,
 min(width) AS min_width, max(width) AS max_width, min(height) AS min_height, max(height) AS max_height FROM rec LEFT JOIN qual USING (path)""",
     "quality_profile": f"""WITH {REC}, {QUAL}, l AS (SELECT fruit || '::' || status AS label, unnest(['width','height','brightness','blur_score']) AS measure, unnest([width::DOUBLE, height::DOUBLE, brightness, blur_score]) AS v FROM rec JOIN qual USING (path))
-SELECT label, measure, count(v) AS n, round(min(v), 6) AS min, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.9), 6) AS p90, round(max(v), 6) AS max, round(avg(v), 6) AS mean
+SELECT label, measure, count(v) AS n, round(min(v) + 1e-9, 6) AS min, round(quantile_cont(v, 0.1) + 1e-9, 6) AS p10, round(quantile_cont(v, 0.25) + 1e-9, 6) AS p25, round(quantile_cont(v, 0.5) + 1e-9, 6) AS p50, round(quantile_cont(v, 0.75) + 1e-9, 6) AS p75, round(quantile_cont(v, 0.9) + 1e-9, 6) AS p90, round(max(v) + 1e-9, 6) AS max, round(avg(v) + 1e-9, 6) AS mean
 FROM l WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL""",
     "min_side_histogram": f"""WITH {REC}, {QUAL}, j AS (SELECT fruit, least(width, height) AS m FROM rec JOIN qual USING (path) WHERE width IS NOT NULL OR height IS NOT NULL), b AS (SELECT fruit, (m >= 96)::INT + (m >= 224)::INT + (m >= 512)::INT AS bin FROM j)
 SELECT f.fruit, g.bin, (SELECT count(*) FROM b WHERE b.fruit = f.fruit AND b.bin = g.bin) AS n FROM (SELECT DISTINCT fruit FROM b) f CROSS JOIN (SELECT unnest(range(4))::INT AS bin) g""",
