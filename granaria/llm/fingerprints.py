@@ -12,11 +12,12 @@ from granaria.functions.text import identity
 def digest(c: Column) -> Column:
     """A hash column as bytes (half the size of its hex text), null where it holds no value."""
     v = identity(c)
-    return F.when(v.rlike("^[0-9a-f]{64}$"), F.unhex(v)).otherwise(F.encode(v, "UTF-8"))
+    plain = F.when(v.rlike("^[0-9a-f]{64}$"), F.unhex(v)).otherwise(F.encode(v, "UTF-8"))
+    return F.when(c.rlike("^[0-9a-fA-F]{64}$"), F.unhex(c)).otherwise(plain)
 
 
 def fingerprint(c: Column) -> Column:
-    return parse_hex63(identity(c))
+    return F.coalesce(parse_hex63(c), parse_hex63(identity(c)))
 
 
 def manifest_prints(manifest: DataFrame, quality: DataFrame, *extra: Column) -> DataFrame:
