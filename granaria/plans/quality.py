@@ -71,6 +71,14 @@ moved AS (
 )
 """
 
+_RECORDS = r"""WITH rec AS (SELECT line_id, regexp_replace(regexp_replace(coalesce(raw_line, ''), '^' || chr(65279), ''), chr(13) || '$', '') AS r FROM manifest_lines),
+q AS (SELECT line_id, r, regexp_full_match(r, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS quoted FROM rec),
+f AS (SELECT line_id, quoted, CASE WHEN quoted THEN list_transform(regexp_extract_all(',' || r, '(?s),("(?:[^"]|"")*"|[^",]*)', 1), lambda x: trim(CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END, chr(32) || chr(9) || chr(10) || chr(13))) END AS f FROM q),
+c AS (SELECT line_id, quoted, len(f) = 7 AS seven,
+  f[1] <> '' AND f[2] IN ('apple','banana','orange','tomato') AND f[3] IN ('fresh','rotten') AND f[4] <> '' AND f[5] <> '' AND regexp_full_match(f[6], '[0-9a-f]{64}') AND f[7] IN ('train','val','test','')
+  AND NOT starts_with(replace(f[1], '\', '/'), '/') AND NOT list_contains(string_split(replace(f[1], '\', '/'), '/'), '..') AND NOT contains(f[1], ':') AND NOT contains(f[1], chr(0)) AS good FROM f)
+"""
+
 SQL = {
     "p1_found": f"""WITH {_LONG}
 SELECT load_id, column_name, CASE WHEN column_name = 'decode_status' THEN 'pattern' ELSE 'range' END AS finding FROM stats WHERE invalid * 50 > n_rows - nulls
@@ -88,11 +96,6 @@ SELECT load_id, column_name, count(*) AS rows, count(*) FILTER (missing) AS null
   min(v) FILTER (ok) AS min_value, max(v) FILTER (ok) AS max_value,
   round(quantile_cont(v, 0.1) FILTER (ok) + 1e-9, 6) AS q10, round(quantile_cont(v, 0.25) FILTER (ok) + 1e-9, 6) AS q25, round(quantile_cont(v, 0.5) FILTER (ok) + 1e-9, 6) AS q50, round(quantile_cont(v, 0.75) FILTER (ok) + 1e-9, 6) AS q75, round(quantile_cont(v, 0.9) FILTER (ok) + 1e-9, 6) AS q90
 FROM vals LEFT JOIN (SELECT load_id, count(*) AS n FROM words GROUP BY ALL) USING (load_id) GROUP BY load_id, column_name""",
-    "p4_found": r"""WITH rec AS (SELECT line_id, regexp_replace(regexp_replace(coalesce(raw_line, ''), '^' || chr(65279), ''), chr(13) || '$', '') AS r FROM manifest_lines),
-q AS (SELECT line_id, r, regexp_full_match(r, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS quoted FROM rec),
-f AS (SELECT line_id, quoted, CASE WHEN quoted THEN list_transform(regexp_extract_all(',' || r, '(?s),("(?:[^"]|"")*"|[^",]*)', 1), lambda x: trim(CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END, chr(32) || chr(9) || chr(10) || chr(13))) END AS f FROM q),
-c AS (SELECT line_id, quoted, len(f) = 7 AS seven,
-  f[1] <> '' AND f[2] IN ('apple','banana','orange','tomato') AND f[3] IN ('fresh','rotten') AND f[4] <> '' AND f[5] <> '' AND regexp_full_match(f[6], '[0-9a-f]{64}') AND f[7] IN ('train','val','test','')
-  AND NOT starts_with(replace(f[1], '\', '/'), '/') AND NOT list_contains(string_split(replace(f[1], '\', '/'), '/'), '..') AND NOT contains(f[1], ':') AND NOT contains(f[1], chr(0)) AS good FROM f)
-SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT seven THEN 'columns' ELSE 'value' END AS reason FROM c WHERE NOT quoted OR NOT seven OR NOT good""",
+    "p4_found": _RECORDS + r"""SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT seven THEN 'columns' ELSE 'value' END AS reason FROM c WHERE NOT quoted OR NOT seven OR NOT good""",
+    "p4_rows": _RECORDS.replace("good FROM f)", "good, f FROM f)") + """SELECT line_id, f[1] AS path, f[2] AS fruit, f[3] AS status, f[4] AS source, f[5] AS group_id, f[6] AS sha256, nullif(f[7], '') AS split FROM c WHERE quoted AND seven AND good""",
 }
