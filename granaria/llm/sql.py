@@ -22,8 +22,16 @@ kinds AS (
 )
 """
 
-_WORDS = r"""trim(regexp_replace(regexp_replace(regexp_replace(translate(strip_accents(lower(nfc_normalize({c}))), 'đ', 'd'), '</?[a-z][^<>]*>', '', 'g'),
- '([\pL\pN])[\x{{2010}}-\x{{2015}}\x{{2212}}-](?:[ \t]*\r?\n[ \t]*(?:[>*|#+-]+[ \t]*)?)?([\pL\pN])', '\1\2', 'g'), '[^\pL\pN]+', ' ', 'g'))"""
+_HYPHEN = r"""regexp_replace({c}, '([\pL\pN])[\x{{2010}}-\x{{2015}}\x{{2212}}-](?:[ \t]*\r?\n[ \t]*(?:[>*|#+-]+[ \t]*)?)?([\pL\pN])', '\1\2', 'g')"""
+_PLAIN = r"""trim(regexp_replace({c}, '[^\pL\pN]+', ' ', 'g'))"""
+_TEXT = r"""regexp_replace(translate(strip_accents(lower(nfc_normalize({c}))), 'đ', 'd'), '</?[a-z][^<>]*>', '', 'g')"""
+
+
+def words(c: str) -> str:
+    """Normalised words as a list; hyphens are joined twice, since matches of one pass don't overlap."""
+    joined = _HYPHEN.format(c=_HYPHEN.format(c=_TEXT.format(c=c)))
+    return f"string_split({_PLAIN.format(c=joined)}, ' ')"
+
 
 SQL = {
     "p3_found": f"""SELECT min(row_id) AS first_row_id FROM (SELECT row_id, {ident("group_id")} AS g, {ident("split")} AS s FROM manifest)
@@ -36,4 +44,12 @@ links AS (SELECT a.row_id AS a, b.row_id AS b FROM visual_review v JOIN ids a ON
 sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(v, w) AS (SELECT a, a FROM sym UNION SELECT r.v, s.b FROM reach r JOIN sym s ON s.a = r.w)
 SELECT min(w) AS group_row_id, v AS row_id FROM reach GROUP BY v""",
+    "p5_report": f"""WITH {_PRINTS}, r AS (SELECT y, split, source, count(*) FILTER (kind = 'bytes') AS b, count(*) FILTER (kind = 'pixels') AS p, count(*) FILTER (kind = 'near') AS n FROM kinds GROUP BY ALL)
+SELECT split, source, count(*) AS records, count(*) FILTER (b > 0) AS same_bytes_records, count(*) FILTER (p > 0) AS same_pixels_records, count(*) FILTER (n > 0) AS near_records,
+sum(b)::BIGINT AS same_bytes_links, sum(p)::BIGINT AS same_pixels_links, sum(n)::BIGINT AS near_links FROM r GROUP BY ALL""",
+    "p7_found": f"""WITH d AS (SELECT doc_id, {words("text")} AS w FROM documents), i AS (SELECT item_id, {words("text")} AS w FROM eval_items),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS t(p)),
+it AS (SELECT item_id, len(w) AS n, p, array_to_string(w[p:p + 7], ' ') AS s FROM i, unnest(range(1, len(w) - 6)) AS t(p)),
+hit AS (SELECT DISTINCT doc_id, item_id, n, p + k AS word FROM it JOIN ds USING (s), unnest(range(8)) AS t(k))
+SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, n HAVING count(*) * 2 >= n""",
 }
