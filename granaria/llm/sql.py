@@ -52,4 +52,12 @@ ds AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS s FROM d, unn
 it AS (SELECT item_id, len(w) AS n, p, array_to_string(w[p:p + 7], ' ') AS s FROM i, unnest(range(1, len(w) - 6)) AS t(p)),
 hit AS (SELECT DISTINCT doc_id, item_id, n, p + k AS word FROM it JOIN ds USING (s), unnest(range(8)) AS t(k))
 SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, n HAVING count(*) * 2 >= n""",
+    "p2_found": f"""WITH RECURSIVE base AS MATERIALIZED (SELECT DISTINCT {ident("m.sha256")} AS sha, {ident("q.pixel_sha256")} AS pix, TRY_CAST('0x' || {ident("q.phash63")} AS BIGINT) AS fp FROM manifest m LEFT JOIN image_quality q ON q.path = m.path),
+cam AS MATERIALIZED (SELECT DISTINCT camera_id AS id, batch_no AS b, {ident("sha256")} AS sha, {ident("pixel_sha256")} AS pix, TRY_CAST('0x' || {ident("phash63")} AS BIGINT) AS fp FROM camera_manifest),
+old AS MATERIALIZED (SELECT id FROM cam JOIN base USING (sha) UNION SELECT id FROM cam JOIN base USING (pix) UNION SELECT c.id FROM cam c JOIN base x ON bit_count(xor(c.fp, x.fp)) <= 4),
+rest AS MATERIALIZED (SELECT * FROM cam ANTI JOIN old USING (id)),
+edge AS MATERIALIZED (SELECT l.id AS late, e.id AS early FROM rest l JOIN rest e ON e.b < l.b AND (l.sha = e.sha OR l.pix = e.pix OR bit_count(xor(l.fp, e.fp)) <= 4)),
+walk(b, acc) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT w.b + 1, list_concat(w.acc, coalesce((SELECT list(r.id) FROM rest r WHERE r.b = w.b + 1 AND r.id NOT IN (SELECT late FROM edge WHERE list_contains(w.acc, early))), []::BIGINT[])) FROM walk w WHERE w.b < (SELECT max(b) FROM cam)),
+accepted AS (SELECT unnest(acc) AS id FROM (SELECT acc FROM walk ORDER BY b DESC LIMIT 1))
+SELECT DISTINCT id AS camera_id FROM cam ANTI JOIN accepted USING (id)""",
 }
