@@ -180,21 +180,59 @@ def _labels(t: str, low: int, high: int, model: dict[str, np.ndarray]) -> np.nda
     return np.where(mean.max(axis=0) > CUT, mean.argmax(axis=0), -1).astype(np.int8)
 
 
-def residue_shares(text: str, model: dict[str, np.ndarray]) -> tuple[dict[str, float], float]:
-    """Share of the body that is residue of each kind, and the length of the body in characters.
-
-    Long texts are scored in pieces that overlap by a window, so memory stays bounded and every character counts.
-    """
-    t = fold(text)
-    if not t:
-        return {}, 0.0
-    label = np.concatenate([_labels(t, i, min(i + PIECE, len(t)), model) for i in range(0, len(t), PIECE)])
+def batch_labels(texts: list[str], model: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+    """Labels of folded texts, as ``_labels`` gives them one by one: many short texts are laid end to end and scored at
+    once, long ones in pieces that overlap by a window. Memory is bounded by PIECE, and every character counts."""
+    held: list[str] = []
+    size = 0
+    for t in [*texts, None]:
+        if held and (t is None or size + len(t) > PIECE):
+            yield from _end_to_end(held, model)
+            held, size = [], 0
+        if t is None:
+            return
+        if len(t) > PIECE:
+            yield np.concatenate([_labels(t, i, min(i + PIECE, len(t)), model) for i in range(0, len(t), PIECE)])
+        else:
+            held.append(t)
+            size += len(t)
+
+
+def _end_to_end(texts: list[str], model: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+    pad = " " * (ORDER - 1)
+    g = grams(pad.join(["", *texts]))
+    sums = np.zeros((len(KINDS), len(g) + 1), np.float64)
+    for i, k in enumerate(KINDS):
+        np.cumsum(model[k][g], out=sums[i, 1:], dtype=np.float64)
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes + ORDER - 1) - sizes
+    half = WINDOW // 2
+    begin, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+    at = np.arange(len(begin)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin
+    a, b = np.maximum(at - half, begin), np.minimum(at + half + 1, end)
+    best = np.full(len(at), -np.inf)
+    label = np.full(len(at), -1, np.int8)
+    for i in range(len(KINDS)):
+        mean = (sums[i, b] - sums[i, a]) / (b - a)
+        more = mean > np.maximum(best, CUT)
+        label[more] = i
+        np.maximum(best, mean, out=best)
+    yield from np.split(label, np.cumsum(sizes)[:-1])
+
+
+def _shares(t: str, label: np.ndarray) -> tuple[dict[str, float], float]:
     for m in ECHO.finditer(t):
         label[m.start() : m.end()] = KINDS.index("filler")
     letters = np.frombuffer(t.encode("utf-32-le"), np.uint32) != 32
-    body = letters & (label != KINDS.index("frame"))
-    size = float(body.sum())
-    return {k: float((body & (label == i)).sum()) / size if size else 0.0 for i, k in enumerate(KINDS) if k != "frame"}, size
+    n = np.bincount(label[letters] + 1, minlength=len(KINDS) + 1)
+    size = float(n.sum() - n[KINDS.index("frame") + 1])
+    return {k: float(n[i + 1]) / size if size else 0.0 for i, k in enumerate(KINDS) if k != "frame"}, size
+
+
+def residue_shares(text: str, model: dict[str, np.ndarray]) -> tuple[dict[str, float], float]:
+    """Share of the body that is residue of each kind, and the length of the body in characters."""
+    t = fold(text)
+    return _shares(t, next(batch_labels([t], model))) if t else ({}, 0.0)
 
 
 def judge(documents: DataFrame, *keep: str) -> DataFrame:
@@ -207,10 +245,10 @@ def judge(documents: DataFrame, *keep: str) -> DataFrame:
         tables = model.value
         for x in batches:
             rows = []
-            for t in x["text"]:
-                t = t or ""
-                fields = left_fields(t, tables)
-                shares, _ = residue_shares(t, tables)
+            folded = [fold(t) if t else "" for t in x["text"]]
+            for t, f, label in zip(x["text"], folded, batch_labels(folded, tables), strict=True):
+                fields = left_fields(t or "", tables)
+                shares, _ = _shares(f, label)
                 error, notice, filler = (shares.get(k, 0.0) for k in ("error", "notice", "filler"))
                 coverage = error + notice + filler
                 rows.append((fields, error, notice, filler, coverage, bool(fields) or coverage >= COVERAGE))
