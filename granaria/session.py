@@ -46,6 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def clear_workspaces(spark: SparkSession) -> None:
+    """Removes the working tables of all operator runs below the shared folder; results that still read them are lost."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/granaria")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
     """Parquet tables written between the steps of one operator run.
 

@@ -179,3 +179,17 @@ def test_streams(spark, sf, tmp_path):
     good = spark.read.parquet(str(tmp_path / "out" / "rows")).select("path").distinct().count()
     bad = spark.read.parquet(str(tmp_path / "out" / "problems")).select("path").distinct().count()
     assert good + bad == man.select("path").distinct().count()
+
+
+def test_workspaces(spark):
+    import os
+
+    from granaria.session import Workspace, clear_workspaces, shared_dir
+
+    ws = Workspace(spark, "t")
+    assert ws.save(spark.range(3), "a").count() == 3
+    assert ws.save(spark.range(0), "b").count() == 0
+    ws.drop("a")
+    assert not os.path.exists(ws.path("a"))
+    clear_workspaces(spark)
+    assert not os.path.exists(f"{shared_dir(spark)}/granaria")
