@@ -1,8 +1,9 @@
 """Template residue and error-page text.
 
 Method. Character n-gram models are fitted for error messages, notices (scripts, cookies, browser checks), filler and
-page frames (headings, navigation) on a bounded set of labelled phrases (``residue_seeds``), and for natural prose on
-all documents of the corpus. Texts are scored by the log-likelihood ratio of each kind against prose, averaged over
+page frames (headings, navigation) on a bounded set of labelled phrases (``residue_seeds``), and for natural prose on the
+distinct sentences of the corpus, so that copies of a page or notice don't turn it into prose; prose is fitted a second
+time without the documents that the first fit finds covered by residue. Texts are scored by the log-likelihood ratio of each kind against prose, averaged over
 sliding windows; the windows localise residue, and a document is excluded if residue covers half of its body, the text
 without its frame. Filler made of one repeated word is found by its repetition. Placeholders are found by their syntax
 and counted unless the text quotes them or its sentence explains them, which two further models decide.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,7 @@ ECHO = re.compile(r"(?<!\w)([^\W\d_]{1,20}(?:/[^\W\d_]{1,4})?)(?:[\s.,;|]+\1(?!\
 
 MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 BLANKS = re.compile(r"\s+")
+SENTENCE = re.compile(r"\n+|(?<=[.!?])\s+")
 PLAIN = {ord("đ"): "d"} | {ord(c): "0" for c in "0123456789"}
 
 
@@ -95,17 +98,34 @@ def _counts(texts: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-def count_prose(documents: DataFrame) -> DataFrame:
-    """(slot, n) over the n-grams of all texts; each task adds up its own before anything is shuffled."""
+def sentences(documents: DataFrame, model: Broadcast | None = None) -> DataFrame:
+    """(sentence) folded, each once whatever its copies; with a model, of documents that residue doesn't cover.
+
+    Documents with a placeholder stay: the text around it is prose.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            texts = [t for t in x["text"] if t]
+            if model is not None:
+                folded = [fold(t) for t in texts]
+                labels = batch_labels(folded, model.value)
+                texts = [t for t, f, label in zip(texts, folded, labels, strict=True) if sum(_shares(f, label)[0].values()) < COVERAGE]
+            yield pd.DataFrame({"sentence": list({fold(s) for t in texts for s in SENTENCE.split(t)})}, dtype=object)
+
+    return documents.select("text").mapInPandas(run, "sentence string").where("sentence != ''").distinct()
+
+
+def count_prose(documents: DataFrame, model: Broadcast | None = None) -> DataFrame:
+    """(slot, n) over the n-grams of the distinct sentences; each task adds up its own before anything is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS, np.int64)
         for x in batches:
             held, size = [], 0
-            for t in x["text"]:
-                if t:
-                    held.append(grams(fold(t)))
-                    size += len(held[-1])
+            for t in x["sentence"]:
+                held.append(grams(t))
+                size += len(t)
                 if size >= SLOTS:
                     total += np.bincount(np.concatenate(held), minlength=SLOTS)
                     held, size = [], 0
@@ -114,14 +134,13 @@ def count_prose(documents: DataFrame) -> DataFrame:
         slots = np.flatnonzero(total)
         yield pd.DataFrame({"slot": slots, "n": total[slots]})
 
-    return documents.select("text").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return sentences(documents, model).mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
 
 
-def fit(documents: DataFrame) -> dict[str, np.ndarray]:
-    """Log-likelihood ratios against prose, one table of SLOTS numbers for each kind, and mention against left fields."""
-    rows = count_prose(documents).toPandas()  # at most SLOTS rows
+def _ratios(counts: DataFrame) -> dict[str, np.ndarray]:
+    rows = counts.toPandas()  # at most SLOTS rows
     prose = np.full(SLOTS, 0.5)
-    prose[rows["slot"].to_numpy()] += rows["n"].to_numpy()
+    prose[rows["slot"].to_numpy()] += rows["n"].to_numpy() - 1  # what one sentence alone holds is no evidence of prose
     prose /= prose.sum()
 
     def ratio(texts: tuple[str, ...]) -> np.ndarray:
@@ -132,6 +151,14 @@ def fit(documents: DataFrame) -> dict[str, np.ndarray]:
     return {k: ratio(v) for k, v in parts.items()}
 
 
+def fit(documents: DataFrame) -> dict[str, np.ndarray]:
+    """Log-likelihood ratios against prose, one table of SLOTS numbers for each kind, and mention against left fields."""
+    first = documents.sparkSession.sparkContext.broadcast(_ratios(count_prose(documents)))  # 6 tables of SLOTS floats
+    model = _ratios(count_prose(documents, first))
+    first.destroy()
+    return model
+
+
 def _quoted(text: str, begin: int, end: int) -> bool:
     before, after = text[:begin].rstrip(" ")[-1:], text[end:].lstrip(" ")[:1]
     return before in QUOTES and after == QUOTES[before]

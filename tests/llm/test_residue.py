@@ -72,5 +72,21 @@ def test_held_out_phrases(spark):
     assert sum(hits) >= 0.6 * len(hits)
 
 
+@pytest.mark.parametrize(
+    ("page", "heading"),
+    [
+        ("Sorry, this album cannot be displayed at the moment. Please refresh the page or contact support.", False),
+        ("The page failed to load. Try again later or contact the administrator.", True),
+    ],
+)
+def test_frequent_residue_stays_residue(spark, page, heading):
+    """One page that holds a third of the rows, as it is or below a heading of its own, is no prose."""
+    rows = [p + " " + q for p in PROSE for q in PROSE] * 80
+    third = [f"Notes for {chr(65 + i % 26)}{chr(65 + i // 26 % 26)}1-204\n{page}" if heading else page for i in range(len(rows) // 2)]
+    out = rs.judge(spark.createDataFrame(list(enumerate([*rows, *third])), "doc_id long, text string").repartition(4))
+    marked = {r["doc_id"] for r in out.where("is_residue").collect()}
+    assert marked == set(range(len(rows), len(rows) + len(third)))
+
+
 def test_empty(spark):
     assert rs.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
