@@ -51,6 +51,82 @@ ERRORS = (
     "La sesión ha caducado, vuelva a entrar.",
     "Servicio no disponible, inténtelo más tarde.",
     "Se ha producido un error al cargar la página.",
+    "The page you requested was not found on this server.",
+    "We couldn't find that page. Check the address or return to the start page.",
+    "Nothing was found at this location. Try a search instead.",
+    "This page no longer exists or the address was typed wrongly.",
+    "The file you requested has been moved to another location.",
+    "The image cannot be displayed because it contains errors.",
+    "This video is unavailable.",
+    "This item has been deleted or is private.",
+    "The document could not be opened.",
+    "We are unable to process your request at this time.",
+    "Sorry, something broke. Our team has been notified.",
+    "An error has occurred while processing your request.",
+    "The operation timed out. Check your connection and try again.",
+    "This site can't be reached. The server took too long to respond.",
+    "Unable to connect to the server. Check your internet connection.",
+    "Your connection was interrupted. A network change was detected.",
+    "No internet connection. You are offline.",
+    "The website is temporarily unavailable. We will be back soon.",
+    "Scheduled maintenance in progress. Please come back later.",
+    "The server is too busy to handle your request right now.",
+    "You have exceeded your quota. Try again tomorrow.",
+    "You have been logged out due to inactivity. Please log in again.",
+    "You must be logged in to see this content.",
+    "Invalid user name or password.",
+    "Your account has been suspended. Contact the administrator.",
+    "You are not allowed to access this resource.",
+    "401 Unauthorized: authentication required.",
+    "400 Bad request: the request could not be understood by the server.",
+    "405 method not allowed",
+    "413 payload too large",
+    "429 Too many requests",
+    "Error code: 1020. Access to this site has been restricted.",
+    "This content is not available in your country.",
+    "The form could not be submitted. Please correct the errors and try again.",
+    "Invalid token. Please refresh and submit the form again.",
+    "File not found.",
+    "Error establishing a database connection",
+    "SQL error: syntax error near line 1, query failed.",
+    "java.lang.NullPointerException at com.app.Main.run(Main.java:42)",
+    "TypeError: cannot read properties of undefined (reading 'map')",
+    "Segmentation fault (core dumped)",
+    "Out of memory: the process was killed.",
+    "Exception: failed to read response, connection reset by peer",
+    "Error: ENOENT: no such file or directory",
+    "{\"code\": 500, \"error\": \"internal error\", \"detail\": null}",
+    "<html><head><title>502 Bad Gateway</title></head><body>nginx</body></html>",
+    "Trang bạn tìm không tồn tại hoặc đã bị xóa.",
+    "Địa chỉ trang không đúng, hãy kiểm tra lại.",
+    "Không thể kết nối đến máy chủ. Vui lòng kiểm tra mạng.",
+    "Không thể mở tập tin này.",
+    "Không tải được trang, hãy thử tải lại.",
+    "Trang web đang bảo trì, vui lòng quay lại sau.",
+    "Hệ thống đang quá tải, xin thử lại sau vài phút.",
+    "Truy cập bị từ chối.",
+    "Bạn chưa đăng nhập hoặc không đủ quyền truy cập.",
+    "Tài khoản của bạn đã bị khóa, hãy liên hệ quản trị viên.",
+    "Nội dung này đã bị gỡ bỏ hoặc không còn khả dụng.",
+    "Yêu cầu không hợp lệ.",
+    "Có lỗi xảy ra trong quá trình xử lý yêu cầu.",
+    "Hết thời gian chờ phản hồi từ máy chủ.",
+    "Lỗi hệ thống, mã lỗi 500.",
+    "Không thể hiển thị hình ảnh.",
+    "La página que busca no existe o ha cambiado de dirección.",
+    "No hemos encontrado lo que buscaba.",
+    "No se puede mostrar esta página.",
+    "No se pudo conectar con el servidor. Compruebe su conexión.",
+    "Error interno del servidor. Vuelva a intentarlo más tarde.",
+    "El sitio está en mantenimiento. Disculpe las molestias.",
+    "Ha ocurrido un error inesperado.",
+    "Este contenido ya no está disponible.",
+    "Acceso prohibido: no tiene permisos suficientes.",
+    "Debe iniciar sesión para ver este contenido.",
+    "Demasiadas solicitudes, inténtelo de nuevo en unos minutos.",
+    "El archivo no existe o está dañado.",
+    "Tiempo de espera agotado.",
+    "La solicitud no se ha podido procesar.",
 )
 NOTICES = (
     "Please enable JavaScript to view this page.",
@@ -80,6 +156,99 @@ NOTICES = (
     "Active JavaScript para ver la galería.",
     "Su navegador tiene los scripts desactivados; la página no puede mostrarse.",
     "Acepte las cookies para continuar.",
+    "JavaScript is required to use this website.",
+    "This page needs JavaScript to work properly.",
+    "For full functionality of this site it is necessary to enable JavaScript.",
+    "Enable JavaScript and reload the page to continue.",
+    "We have detected that JavaScript is disabled. Please enable it or use a supported browser.",
+    "Your browser has JavaScript turned off, so some features will not work.",
+    "Scripts are blocked. Allow scripts for this site in your settings.",
+    "Turn off your ad blocker to continue reading.",
+    "Please disable your ad blocker and reload.",
+    "It looks like you are using an ad blocker.",
+    "Your browser is out of date. Please update your browser to view this site.",
+    "This site requires a modern browser.",
+    "Switch to a supported browser such as Firefox or Chrome.",
+    "Internet Explorer is no longer supported.",
+    "Please enable cookies.",
+    "Cookies are disabled. Enable cookies in your browser and try again.",
+    "Cookies must be enabled to log in.",
+    "This website requires cookies to function.",
+    "We and our partners use cookies to store and access information on your device.",
+    "This website uses cookies to ensure you get the best experience.",
+    "We use cookies to personalise content and ads and to analyse our traffic.",
+    "By continuing to browse you accept the use of cookies.",
+    "By clicking accept you consent to cookies.",
+    "Manage cookie preferences",
+    "Accept all cookies",
+    "Reject non-essential cookies",
+    "Read our cookie policy and privacy policy.",
+    "Your privacy matters to us. Choose which cookies you allow.",
+    "Necessary cookies are always active.",
+    "One moment, we are checking your connection.",
+    "Just a moment...",
+    "Please stand by while we are checking your browser.",
+    "Your browser will be redirected shortly.",
+    "This process is automatic. You will be redirected to the requested content.",
+    "Verifying you are human. This may take a few seconds.",
+    "Please verify that you are not a bot.",
+    "Prove that you are human.",
+    "Solve the captcha below to proceed.",
+    "Enter the characters you see in the image.",
+    "Tick the box to show you are not a robot.",
+    "Unusual traffic from your computer network has been detected.",
+    "Security check required before you can access the site.",
+    "DDoS protection by the hosting provider. Ray ID: 0a1b2c3d",
+    "Please wait, your request is being verified.",
+    "This site is protected by reCAPTCHA.",
+    "Allow pop-ups and scripts to open the viewer.",
+    "The viewer could not start because scripting is disabled.",
+    "Bạn phải bật JavaScript để sử dụng trang web này.",
+    "JavaScript đang bị tắt trong trình duyệt của bạn.",
+    "Trang này cần JavaScript để hoạt động.",
+    "Vui lòng kích hoạt JavaScript rồi tải lại trang.",
+    "Trình duyệt của bạn không được hỗ trợ, hãy cập nhật.",
+    "Trình duyệt đã chặn script, hãy cho phép script.",
+    "Chúng tôi sử dụng cookie để cải thiện trải nghiệm của bạn.",
+    "Website sử dụng cookie.",
+    "Bằng việc tiếp tục, bạn đồng ý cho chúng tôi dùng cookie.",
+    "Chấp nhận tất cả cookie",
+    "Từ chối cookie",
+    "Cookie đang bị tắt, hãy bật cookie và thử lại.",
+    "Xem chính sách cookie và quyền riêng tư.",
+    "Vui lòng chờ trong khi chúng tôi kiểm tra trình duyệt.",
+    "Đang xác minh kết nối an toàn, quá trình này mất vài giây.",
+    "Hãy xác minh bạn là con người.",
+    "Đánh dấu vào ô để chứng minh bạn không phải robot.",
+    "Nhập mã captcha để tiếp tục.",
+    "Vui lòng tắt trình chặn quảng cáo.",
+    "Bạn sẽ được chuyển hướng trong giây lát.",
+    "Hãy bật script và cookie cho trang này.",
+    "Cài đặt cookie",
+    "Es necesario activar JavaScript para usar este sitio.",
+    "JavaScript está desactivado en su navegador.",
+    "Esta página requiere JavaScript para funcionar.",
+    "Habilite JavaScript y recargue la página.",
+    "Su navegador no es compatible. Actualícelo para continuar.",
+    "Los scripts están bloqueados, permita los scripts de este sitio.",
+    "Usamos cookies para mejorar su experiencia.",
+    "Este sitio web utiliza cookies.",
+    "Al continuar navegando acepta el uso de cookies.",
+    "Aceptar todas las cookies",
+    "Rechazar todas",
+    "Configurar cookies",
+    "Las cookies están desactivadas, actívelas para iniciar sesión.",
+    "Consulte nuestra política de cookies y privacidad.",
+    "Espere mientras verificamos su navegador.",
+    "Comprobando la seguridad de la conexión, tardará unos segundos.",
+    "Verifique que es una persona.",
+    "Confirme que no es un robot para continuar.",
+    "Resuelva el captcha para acceder.",
+    "Será redirigido en unos instantes.",
+    "Desactive el bloqueador de anuncios para seguir.",
+    "Permita las cookies para ver las fotos.",
+    "Active los scripts y vuelva a cargar la galería.",
+    "Debe permitir las cookies en su navegador.",
 )
 FILLER = (
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
@@ -120,6 +289,87 @@ FILLER = (
     "por completar",
     "Sample note 4 por completar",
     "Texto de ejemplo. Próximamente.",
+    "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam.",
+    "Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores.",
+    "Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae.",
+    "Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas.",
+    "Li Europan lingues es membres del sam familie.",
+    "The quick brown fox jumps over the lazy dog. The quick brown fox jumps over the lazy dog.",
+    "foo bar baz foo bar baz",
+    "bla bla bla bla",
+    "qwerty qwerty qwertyuiop",
+    "aaaa bbbb cccc dddd",
+    "text text text text text",
+    "dummy dummy dummy",
+    "This is a test. This is only a test.",
+    "Sample text for testing purposes.",
+    "Dummy content, please ignore.",
+    "Example content, to be replaced.",
+    "Placeholder, do not publish.",
+    "Draft. Content to be added.",
+    "To be announced",
+    "To be confirmed",
+    "To be completed",
+    "To be supplied",
+    "This section is empty.",
+    "No content yet.",
+    "No description available.",
+    "No description has been provided.",
+    "Left blank on purpose.",
+    "Nothing here yet.",
+    "Description will follow.",
+    "Text will be added later.",
+    "More details will be published soon.",
+    "Further information will be provided later.",
+    "This section will be completed at a later date.",
+    "The author will fill in this part.",
+    "The report will be added here when it is ready.",
+    "Watch this space.",
+    "We are working on this page.",
+    "Page under construction. Please visit again.",
+    "Add your text here.",
+    "Enter a description here.",
+    "Type your notes here.",
+    "Write your comment here.",
+    "Describe the sample in a few words here.",
+    "Insert paragraph here.",
+    "Click here to edit this text.",
+    "Double click to add a title.",
+    "Title goes here",
+    "Replace this sentence with your own words.",
+    "Fill in this section.",
+    "Nội dung sẽ được cập nhật sau.",
+    "Nội dung sẽ được thêm vào sau.",
+    "Phần này đang được biên soạn.",
+    "Mục này chưa có nội dung.",
+    "Chưa có mô tả.",
+    "Thông tin đang được bổ sung.",
+    "Bài viết sẽ sớm ra mắt.",
+    "Trang đang được xây dựng.",
+    "Đoạn văn mẫu, hãy thay thế trước khi đăng.",
+    "Đây là văn bản mẫu.",
+    "Nhập nội dung tại đây.",
+    "Nhập mô tả vào đây.",
+    "Viết ghi chú của bạn ở đây.",
+    "Điền thông tin vào phần này.",
+    "Chờ bổ sung",
+    "Để trống",
+    "bài mẫu bài mẫu bài mẫu",
+    "El contenido se publicará próximamente.",
+    "El texto se añadirá más tarde.",
+    "Esta sección está vacía.",
+    "Sección pendiente de completar.",
+    "Aún no hay descripción.",
+    "Sin contenido por ahora.",
+    "Más información en breve.",
+    "Sitio en construcción.",
+    "Este es un texto de prueba.",
+    "Texto provisional, sustituir antes de publicar.",
+    "Escriba su texto aquí.",
+    "Introduzca una descripción aquí.",
+    "Añada aquí sus notas.",
+    "Por determinar",
+    "prueba prueba prueba prueba",
 )
 # headings and page navigation: no part of the body
 FRAME = (

@@ -72,6 +72,18 @@ def test_held_out_phrases(spark):
     assert sum(hits) >= 0.6 * len(hits)
 
 
+def test_unseen_wordings(spark, sf):
+    """Wordings that no seed holds; prose about such things stays prose."""
+    import unseen_residue as unseen
+
+    assert not {*unseen.FIRST, *unseen.SECOND} & {*rs.seeds.ERRORS, *rs.seeds.NOTICES, *rs.seeds.FILLER}
+    model = rs.fit(spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/documents.parquet"))
+    found = lambda texts: sum(sum(rs.residue_shares(t, model)[0].values()) >= rs.COVERAGE for t in texts)
+    assert found(unseen.FIRST) >= 0.7 * len(unseen.FIRST)
+    assert found(unseen.SECOND) >= 0.45 * len(unseen.SECOND)
+    assert not found(unseen.PROSE)
+
+
 @pytest.mark.parametrize(
     ("page", "heading"),
     [
