@@ -6,6 +6,10 @@ by hooking and shortcutting. Odd input: rows without any key are components of t
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +45,28 @@ def every_nth(rows: DataFrame, by: str, key: str, n: int = 4) -> DataFrame:
 def component_ids(rows: DataFrame, id_col: str, keys: list[str], name: str, prefix: str = "v2_") -> DataFrame:
     """(id, component, group_hash): linked rows and a group id made of their sorted names.
 
-    The names of a component are joined into one text before hashing, as the identifier demands.
+    The names are sorted and fed to the hash one by one, so a component of any size needs no list of its names.
     """
     linked = rows.select(id_col, name).distinct().join(link_by_keys(rows, id_col, keys), id_col)
-    named = linked.groupBy("component").agg(F.concat(F.lit(prefix), F.substring(digest(F.array_join(F.array_sort(F.collect_list(name)), "\n")), 1, 32)).alias("group_hash"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, h, empty = None, None, True
+        for x in batches:
+            done = []
+            for component, text in zip(x["component"], x["name"], strict=True):
+                if h is None or component != at:
+                    if h is not None:
+                        done.append((at, prefix + h.hexdigest()[:32]))
+                    at, h, empty = component, hashlib.sha256(), True
+                if isinstance(text, str):
+                    h.update(text.encode() if empty else b"\n" + text.encode())
+                    empty = False
+            yield pd.DataFrame(done, columns=["component", "group_hash"])
+        if h is not None:
+            yield pd.DataFrame([(at, prefix + h.hexdigest()[:32])], columns=["component", "group_hash"])
+
+    ordered = linked.select("component", F.col(name).alias("name")).repartition("component").sortWithinPartitions("component", "name")
+    named = ordered.mapInPandas(run, f"component {linked.schema['component'].dataType.simpleString()}, group_hash string")
     return linked.join(named, "component").select(id_col, "component", "group_hash")
 
 

@@ -175,12 +175,20 @@ def split_hash(spark: SparkSession, sf: str) -> DataFrame:
     return rec(spark, sf).where("grp is not null").select("grp").distinct().select("grp", A.hash_split(F.col("grp"), 42).alias("split"))
 
 
-def component_group_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Manifest records linked by digest, pixels and file-name family; the largest declared group is no key here."""
+def _linkable(spark: SparkSession, sf: str) -> DataFrame:
     r = rec(spark, sf).join(quality(spark, sf).select("path", "pix"), "path", "left")
     k = P.file_kind(F.col("path"), F.col("fruit"), F.col("status"))
-    r = r.select("row_id", "path_k", "sha", "pix", k.alias("k")).withColumn("family", F.when(F.col("k.family") != "", F.col("k.family")))
-    return A.component_ids(r, "row_id", ["sha", "pix"], "path_k")
+    return r.select("row_id", "path_k", "grp", "sha", "pix", k.alias("k")).withColumn("family", F.when(F.col("k.family") != "", F.col("k.family")))
+
+
+def component_group_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifest records linked by digest, pixels and file-name family; ``component_group_build`` takes the declared group too."""
+    return A.component_ids(_linkable(spark, sf), "row_id", ["sha", "pix", "family"], "path_k")
+
+
+def component_group_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifest records linked by declared group, digest, pixels and file-name family."""
+    return A.component_ids(_linkable(spark, sf), "row_id", ["grp", "sha", "pix", "family"], "path_k")
 
 
 def component_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,7 +307,7 @@ QUERIES = {
     for f in (
         label_split_counts, missing_buckets, audit_counts, quality_profile, min_side_histogram, tag_counts, completeness, hard_case_tags, inventory_report, count_thresholds,
         db_group_summary, metric_melt, json_matches, event_props, quality_flags, quality_verdicts, plain_gate, dedup_keep_first, first_seen_reference, repeats_within_source,
-        first_per_class, best_epoch, split_stratified, split_hash, component_group_hash, component_ids, coassign_split, merge_report, freeze_and_extend, reviewed_split,
+        first_per_class, best_epoch, split_stratified, split_hash, component_group_hash, component_group_build, component_ids, coassign_split, merge_report, freeze_and_extend, reviewed_split,
         filename_kinds, filename_families, parent_families, provenance_classes, provenance_report, upsert_merge, version_record, group_split_update, union_counts, content_hashes, path_parts,
     )
 }

@@ -67,6 +67,25 @@ def test_component_hash(spark):
     assert got[3] == "v2_" + hashlib.sha256(b"c").hexdigest()[:32]
 
 
+def test_group_build_links_families_and_groups(spark, tmp_path):
+    """An augmented copy joins its original by file name alone, and records join by group_id alone."""
+    from datetime import datetime
+
+    from granaria.plans.curation import component_group_build, component_group_hash
+
+    t = datetime(2026, 1, 1)
+    paths = {1: ("Screen Shot 7.png", "a"), 2: ("rotated_by_15_Screen Shot 7.png", None), 3: ("other.png", "A "), 4: ("alone.png", None), 5: ("same.png", "UNKNOWN")}
+    sha = {4: "f" * 64, 5: "F" * 64}
+    rows = [(i, f"apple/fresh/{n}", "apple", "fresh", "s", g, sha.get(i), "train", t) for i, (n, g) in paths.items()]
+    spark.createDataFrame(rows, "row_id long, path string, fruit string, status string, source string, group_id string, sha256 string, split string, loaded_at timestamp").write.parquet(f"{tmp_path}/manifest.parquet")
+    quality = "path string, width long, height long, brightness double, blur_score double, pixel_sha256 string, phash63 string, load_id long, inspected_at timestamp"
+    spark.createDataFrame([], quality).write.parquet(f"{tmp_path}/image_quality.parquet")
+    name = lambda *ids: "v2_" + hashlib.sha256("\n".join(sorted(f"apple/fresh/{paths[i][0]}".lower() for i in ids)).encode()).hexdigest()[:32]
+    for query, groups in ((component_group_hash, ((1, 2), (3,), (4, 5))), (component_group_build, ((1, 2, 3), (4, 5)))):
+        got = {tuple(r) for r in query(spark, str(tmp_path)).select("row_id", "component", "group_hash").collect()}
+        assert got == {(i, min(g), name(*g)) for g in groups for i in g}
+
+
 def test_upsert(spark):
     f = lambda rows: spark.createDataFrame(rows, "k string, v string, split string, source string")
     out = merge.upsert(f([("a", "1", "train", None), ("b", "2", "val", "s"), (None, "0", None, None)]), f([("a", "9", "test", "t"), ("a", "9", "test", "t"), ("c", "3", "test", None), (None, "x", "y", "z")]), "k", ["v"], ["split"], ["source"])
