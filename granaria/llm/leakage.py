@@ -1,8 +1,9 @@
 """Evaluation texts leaking into a corpus.
 
 Method: a prefix-filtered set join. Items and documents become sets of shingles of eight consecutive words of normalised
-text. Half of an item's n words can only be covered by at least ceil(n / 16) of its shingles, so a document that leaks
-the item must hold one of its ``size - ceil(n / 16) + 1`` rarest shingles (the prefix; rarity is counted over all
+text. Each place of a shingle covers eight words of the item, so half of an item's n words can only be covered by at least
+``need = ceil(n / 16 / m)`` of its shingles, m being the most places that one of them has in the item. A document that
+leaks the item must hold one of its ``size - need + 1`` rarest shingles (the prefix; rarity is counted over all
 documents). Pairs that meet in a prefix and satisfy the length bound are verified by exact containment of the item's
 eight-word windows in the document's words, and the covered words are counted.
 
@@ -52,9 +53,9 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     held = ws.save(held.join(vocabulary, "shingle"), "held")
     rarity = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
 
-    need = F.ceil(F.ceil(F.col("words") * SHARE) / SPAN).cast("int")
-    tokens = item.select("item_id", need.alias("need"), F.explode(F.array_distinct("s")).alias("shingle")).join(rarity, "shingle", "left")
-    ordered = tokens.groupBy("item_id", "need").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "shingle"))).alias("t"))
+    tokens = item.select("item_id", "words", F.explode("s").alias("shingle")).groupBy("item_id", "words", "shingle").agg(F.count(F.lit(1)).alias("places")).join(rarity, "shingle", "left")
+    need = F.ceil(F.ceil(F.col("words") * SHARE) / (F.max("places") * SPAN)).cast("int")
+    ordered = tokens.groupBy("item_id", "words").agg(need.alias("need"), F.array_sort(F.collect_list(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "shingle"))).alias("t"))
     prefix = ws.save(ordered.select("item_id", "need", F.explode(F.slice("t", F.lit(1), F.size("t") - F.col("need") + 1)).alias("x")).select("item_id", "need", "x.shingle"), "prefix")
     met = held.join(prefix, "shingle").select("doc_id", "item_id", "need").distinct()
     sizes = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

@@ -54,6 +54,15 @@ def test_against_brute_force(spark, seed):
     assert got
 
 
+def test_item_that_repeats_a_phrase(spark):
+    """One shingle covers every place it has in the item."""
+    phrase = "one two three four five six seven eight"
+    items = [(1, " ".join([phrase] * 4)), (2, f"{phrase} {phrase} {phrase} nine ten eleven twelve thirteen fourteen fifteen sixteen")]
+    docs = [(1, f"a {phrase} b"), (2, "one two three four five six seven"), (3, f"{phrase} {phrase}"), (4, "nine ten eleven twelve thirteen fourteen fifteen sixteen")]
+    got = {(x["doc_id"], x["item_id"]) for x in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items) == {(1, 1), (1, 2), (3, 1), (3, 2)}
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [("Left-\n> most  TRAY", "leftmost tray"), ("a b c", "a b c"), ("<span class=\"q\">x</span>y **z**", "xy z"), ("Quả Đỏ", "qua do"), (None, ""), ("don't stop", "dont stop"), ("[link](http://a.b/c) end", "link end"), ("co­operate", "cooperate")],
