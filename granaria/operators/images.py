@@ -17,13 +17,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bins: three HSV histograms, three Lab histograms; then mean, deviation and two percentiles for each HSV channel.
+# The layout and constants of the feature vector.
 HSV_BINS, LAB_BINS = 24, 16
+HSV_POINTS = (0.10, 0.90)
 LBP_POINTS, LBP_RADIUS = 16, 2
 HOG = {"directions": 9, "cell": 16, "block": 2}
+MASK = {"saturation": 0.12, "grey": 0.86, "rim": 2, "least": 0.01, "most": 0.98, "radius": 0.43}
+SIDE, PAD = 224, 255
 # sRGB to XYZ for the D65 white point, and that white point.
 RGB_XYZ = np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]])
 WHITE = np.array([0.95047, 1.0, 1.08883])
+# The CIE constants epsilon and kappa.
+CIE_EPSILON, CIE_KAPPA = 216 / 24389, 24389 / 27
 
 
 def as_array(width: int | None, height: int | None, pixels: bytes | None) -> np.ndarray | None:
@@ -80,25 +85,40 @@ def to_hsv(rgb: np.ndarray) -> np.ndarray:
     return np.stack([hue, np.where(top > 1e-8, span / np.where(top > 1e-8, top, 1), 0.0), top], -1)
 
 
+def _srgb_levels() -> np.ndarray:
+    """Linear light of the 256 levels of a channel (IEC 61966-2-1)."""
+    level = np.linspace(0.0, 1.0, 256)
+    straight = level / 12.92
+    return np.where(level > 0.04045, np.power((level + 0.055) / 1.055, 2.4), straight)
+
+
+LINEAR = _srgb_levels()
+
+
 def to_lab(rgb: np.ndarray) -> np.ndarray:
-    c = rgb.astype(np.float64) / 255.0
-    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
-    t = linear @ RGB_XYZ.T / WHITE
-    f = np.where(t > (6 / 29) ** 3, np.cbrt(np.maximum(t, 1e-12)), t / (3 * (6 / 29) ** 2) + 4 / 29)
-    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
+    """CIE 1976 L*a*b*, with the cube root continued linearly below epsilon."""
+    relative = np.tensordot(LINEAR[rgb], RGB_XYZ / WHITE[:, None], axes=(-1, -1))
+    response = (CIE_KAPPA * relative + 16) / 116
+    bright = relative > CIE_EPSILON
+    response[bright] = np.cbrt(relative[bright])
+    lightness = 116 * response[..., 1:2] - 16
+    return np.concatenate([lightness, -np.diff(response, axis=-1) * (500, 200)], axis=-1)
 
 
-def _shares(values: np.ndarray, bins: int) -> np.ndarray:
-    n = np.histogram(values, bins, (0.0, 1.0))[0]
-    return n / max(n.sum(), 1)
+def _histograms(channels: np.ndarray, bins: int) -> np.ndarray:
+    """Shares of ``bins`` equal bins on [0, 1] for each channel, one after the other, from a single count."""
+    n = channels.shape[-1]
+    place = np.minimum((channels.reshape(-1, n) * bins).astype(int), bins - 1) + bins * np.arange(n)
+    return np.bincount(place.ravel(), minlength=bins * n) / max(len(place), 1)
 
 
 def colour(rgb: np.ndarray) -> np.ndarray:
-    """132 numbers: HSV and Lab histograms, and four moments for each HSV channel."""
-    hsv, lab = to_hsv(rgb), to_lab(rgb)
-    lab = np.clip(np.stack([lab[..., 0] / 100, (lab[..., 1] + 128) / 255, (lab[..., 2] + 128) / 255], -1), 0, 1)
-    moments = [f(hsv[..., i]) for i in range(3) for f in (np.mean, np.std, lambda v: np.percentile(v, 10), lambda v: np.percentile(v, 90))]
-    return np.concatenate([_shares(hsv[..., i], HSV_BINS) for i in range(3)] + [_shares(lab[..., i], LAB_BINS) for i in range(3)] + [moments])
+    """132 numbers: HSV and Lab histograms, then mean, deviation and two percentiles of each HSV channel."""
+    hsv = to_hsv(rgb)
+    lab = (to_lab(rgb) + (0, 128, 128)) / (100, 255, 255)
+    flat = hsv.reshape(-1, 3)
+    spread = np.vstack([flat.mean(0), flat.std(0), np.quantile(flat, HSV_POINTS, axis=0)])
+    return np.concatenate([_histograms(hsv, HSV_BINS), _histograms(lab.clip(0, 1), LAB_BINS), spread.T.ravel()])
 
 
 def texture(gray: np.ndarray) -> np.ndarray:
@@ -114,35 +134,47 @@ def texture(gray: np.ndarray) -> np.ndarray:
 
 
 def foreground(rgb: np.ndarray) -> np.ndarray:
-    """Coarse object mask: coloured or not bright, without a thin border; an ellipse where that says nothing."""
-    mask = (to_hsv(rgb)[..., 1] > 0.12) | (luma(rgb) / 255 < 0.86)
-    mask[:2], mask[-2:], mask[:, :2], mask[:, -2:] = False, False, False, False
-    if not 0.01 <= mask.mean() <= 0.98:
-        h, w = mask.shape
-        y, x = np.ogrid[:h, :w]
-        mask = ((y - (h - 1) / 2) / (0.43 * h)) ** 2 + ((x - (w - 1) / 2) / (0.43 * w)) ** 2 <= 1
-    return mask
+    """Mask of what is coloured or not bright, inside a rim; the central ellipse if that is nearly nothing or all."""
+    inner = (slice(MASK["rim"], -MASK["rim"]),) * 2
+    part = rgb[inner]
+    found = np.zeros(rgb.shape[:2], bool)
+    found[inner] = ~((to_hsv(part)[..., 1] <= MASK["saturation"]) & (luma(part) >= MASK["grey"] * 255))
+    if MASK["least"] <= found.mean() <= MASK["most"]:
+        return found
+    # offsets of pixel centres from the middle, as parts of the picture
+    down, right = (np.linspace(-0.5, 0.5, n, endpoint=False) + 0.5 / n for n in found.shape)
+    return np.add.outer(down**2, right**2) <= MASK["radius"] ** 2
+
+
+def hu_invariants(mask: np.ndarray) -> np.ndarray:
+    """Hu's seven invariants of a mask, from complex moments c(p, q) of its pixels (Flusser's formulation).
+
+    With z the centred pixels as complex numbers, c(p, q) sums z^p times the conjugate of z^q; c(p, q) turns by the angle
+    p - q, so products whose angles cancel are invariant.
+    """
+    at = np.argwhere(mask)
+    z = (at - at.mean(0)) @ (1j, 1)
+    c = lambda p, q: np.sum(z**p * z.conj() ** q) / len(z) ** (1 + (p + q) / 2)
+    spin2, spin3, back = c(2, 0), c(3, 0), c(1, 2)
+    cubed = spin3 * back**3
+    return np.array([c(1, 1).real, abs(spin2) ** 2, abs(spin3) ** 2, abs(back) ** 2, cubed.real, (spin2 * back**2).real, cubed.imag])
 
 
 def shape(rgb: np.ndarray) -> np.ndarray:
-    """12 numbers: five of geometry, and the seven Hu invariants as signed logarithms."""
+    """12 numbers: area, aspect, extent, boundary and roundness of the mask, and Hu's invariants as signed logarithms."""
     mask = foreground(rgb)
-    y, x = np.nonzero(mask)
-    if not len(x):
-        return np.zeros(12)
-    area, (h, w) = float(len(x)), mask.shape
-    bw, bh = np.ptp(x) + 1.0, np.ptp(y) + 1.0
-    rim = float((mask[1:] != mask[:-1]).sum() + (mask[:, 1:] != mask[:, :-1]).sum())
-    geometry = [area / mask.size, bw / bh, area / (bw * bh), rim / (2.0 * (w + h)), 4 * np.pi * area / (rim * rim + 1e-6)]
-    if area < 5:
-        return np.concatenate([geometry, np.zeros(7)])
-    dx, dy = x - x.mean(), y - y.mean()
-    e = {(p, q): (dx**p * dy**q).sum() / area ** (1 + (p + q) / 2) for p, q in ((2, 0), (0, 2), (1, 1), (3, 0), (1, 2), (2, 1), (0, 3))}
-    s, d = e[3, 0] + e[1, 2], e[2, 1] + e[0, 3]  # sums of third moments
-    u, v = e[3, 0] - 3 * e[1, 2], 3 * e[2, 1] - e[0, 3]
-    r = e[2, 0] - e[0, 2]
-    hu = np.array([e[2, 0] + e[0, 2], r**2 + 4 * e[1, 1] ** 2, u**2 + v**2, s**2 + d**2, u * s * (s**2 - 3 * d**2) + v * d * (3 * s**2 - d**2), r * (s**2 - d**2) + 4 * e[1, 1] * s * d, v * s * (s**2 - 3 * d**2) - u * d * (3 * s**2 - d**2)])
-    return np.concatenate([geometry, np.clip(-np.sign(hu) * np.log10(np.abs(hu) + 1e-30), -30, 30)])
+    area = np.count_nonzero(mask)
+    out = np.zeros(12)
+    if not area:
+        return out
+    # height and width of the bounding box, from the projections on both axes
+    tall, wide = (np.ptp(np.flatnonzero(mask.any(axis))) + 1 for axis in (1, 0))
+    border = sum(np.count_nonzero(np.diff(mask, axis=axis)) for axis in (0, 1))
+    out[:5] = area / mask.size, wide / tall, area / (wide * tall), border / (2 * sum(mask.shape)), 4 * np.pi * area / (border**2 + 1e-6)
+    if area >= 5:
+        hu = hu_invariants(mask)
+        out[5:] = (-np.sign(hu) * np.log10(np.abs(hu) + 1e-30)).clip(-30, 30)
+    return out
 
 
 def oriented_gradients(gray: np.ndarray) -> np.ndarray:
@@ -159,21 +191,92 @@ def oriented_gradients(gray: np.ndarray) -> np.ndarray:
     return unit(np.minimum(unit(blocks), 0.2)).ravel()
 
 
-def letterbox(rgb: np.ndarray, side: int = 224, pad: int = 255) -> np.ndarray:
-    """Fits an image into a square without stretching (area means), padded evenly."""
-    h, w = rgb.shape[:2]
-    scale = min(side / w, side / h)
-    nh, nw = max(1, round(h * scale)), max(1, round(w * scale))
-    ys, xs = (np.arange(nh) * h // nh), (np.arange(nw) * w // nw)
+def _resampling(old: int, new: int, lobes: int = 3) -> np.ndarray:
+    """Matrix of ``new`` rows that resample ``old`` pixels with a Lanczos window, widened where the picture shrinks."""
+    wide = max(old / new, 1.0)
+    offset = (np.arange(old) + 0.5 - (np.arange(new)[:, None] + 0.5) * old / new) / wide
+    kernel = np.where(np.abs(offset) < lobes, np.sinc(offset) * np.sinc(offset / lobes), 0.0)
+    return kernel / kernel.sum(1, keepdims=True)
+
+
+def letterbox(rgb: np.ndarray, side: int = SIDE, pad: int = PAD) -> np.ndarray:
+    """Fits an image into a square without stretching, by Lanczos resampling, padded evenly."""
+    fit = side / max(rgb.shape[:2])
+    h, w = (max(1, round(n * fit)) for n in rgb.shape[:2])
+    down, across = _resampling(rgb.shape[0], h), _resampling(rgb.shape[1], w)
+    picture = np.einsum("yv,vuc,xu->yxc", down, rgb.astype(np.float64), across, optimize=True)
     out = np.full((side, side, 3), pad, np.uint8)
-    top, left = (side - nh) // 2, (side - nw) // 2
-    out[top : top + nh, left : left + nw] = rgb[ys][:, xs]
+    top, left = (side - h) // 2, (side - w) // 2
+    out[top : top + h, left : left + w] = np.rint(picture).clip(0, 255)
     return out
 
 
-def feature_vector(rgb: np.ndarray) -> np.ndarray:
-    """Colour, texture, shape and gradients of the letterboxed image, in this order: 6249 numbers."""
+def equalise(light: np.ndarray, clip: float = 2.0, grid: int = 8, levels: int = 256) -> np.ndarray:
+    """Contrast-limited adaptive equalisation (CLAHE) of a plane of whole levels.
+
+    Each tile of a ``grid`` x ``grid`` raster has its histogram clipped at ``clip`` times the even height, the excess spread
+    evenly, and the levels mapped by its cumulative curve; a pixel is mapped by the four nearest tiles, bilinearly.
+    """
+    h, w = light.shape
+    th, tw = -(-h // grid), -(-w // grid)
+    tiles = np.pad(light, ((0, th * grid - h), (0, tw * grid - w)), mode="symmetric").reshape(grid, th, grid, tw).transpose(0, 2, 1, 3).reshape(grid * grid, th * tw)
+    counts = np.stack([np.bincount(t, minlength=levels) for t in tiles]).astype(float)
+    limit = max(1.0, clip * th * tw / levels)
+    excess = np.maximum(counts - limit, 0).sum(1, keepdims=True)
+    curve = ((np.minimum(counts, limit) + excess / levels).cumsum(1) * (levels - 1) / (th * tw)).reshape(grid, grid, levels)
+
+    def near(n: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.arange(n) + 0.5) / step - 0.5
+        low = np.floor(at).astype(int)
+        return low.clip(0, grid - 1), (low + 1).clip(0, grid - 1), at - low
+
+    y0, y1, fy = near(h, th)
+    x0, x1, fx = near(w, tw)
+    pick = lambda y, x: curve[y[:, None], x[None, :], light]
+    upper = pick(y0, x0) * (1 - fx) + pick(y0, x1) * fx
+    lower = pick(y1, x0) * (1 - fx) + pick(y1, x1) * fx
+    return np.rint(upper * (1 - fy[:, None]) + lower * fy[:, None]).clip(0, levels - 1).astype(np.uint8)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    """The inverse of ``to_lab``, as RGB bytes."""
+    y = (lab[..., 0] + 16) / 116
+    response = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], -1)
+    cubed = response**3
+    xyz = np.where(cubed > CIE_EPSILON, cubed, (116 * response - 16) / CIE_KAPPA) * WHITE
+    light = (xyz @ np.linalg.inv(RGB_XYZ).T).clip(0, 1)
+    return np.rint(255 * np.where(light > 0.0031308, 1.055 * np.power(light, 1 / 2.4) - 0.055, 12.92 * light)).astype(np.uint8)
+
+
+def local_contrast(rgb: np.ndarray, clip: float = 2.0, grid: int = 8) -> np.ndarray:
+    """CLAHE on the lightness alone; the hues stay."""
+    lab = to_lab(rgb)
+    lab[..., 0] = equalise(np.rint(lab[..., 0].clip(0, 100) * 2.55).astype(np.uint8), clip, grid) / 2.55
+    return from_lab(lab)
+
+
+def smooth(rgb: np.ndarray, width: int = 3) -> np.ndarray:
+    """Gaussian filter of an odd width, separable, borders mirrored; the deviation follows the width."""
+    if width < 1 or width % 2 == 0:
+        raise ValueError("the width must be odd and positive")
+    at = np.arange(width) - width // 2
+    kernel = np.exp(-(at**2) / (2 * (0.3 * (width // 2 - 1) + 0.8) ** 2))
+    kernel /= kernel.sum()
+    out = rgb.astype(np.float64)
+    for axis in (0, 1):
+        pad = [(width // 2,) * 2 if a == axis else (0, 0) for a in range(3)]
+        out = np.lib.stride_tricks.sliding_window_view(np.pad(out, pad, mode="reflect" if rgb.shape[axis] > width // 2 else "edge"), width, axis) @ kernel
+    return np.rint(out).clip(0, 255).astype(np.uint8)
+
+
+def feature_vector(rgb: np.ndarray, contrast: bool = False, width: int = 0) -> np.ndarray:
+    """Colour, texture, shape and gradients of the letterboxed image, in this order: 6249 numbers.
+
+    ``contrast`` and a ``width`` apply local contrast and the Gaussian filter first.
+    """
     box = letterbox(rgb)
+    box = local_contrast(box) if contrast else box
+    box = smooth(box, width) if width else box
     gray = luma(box)
     return np.concatenate([colour(box), texture(gray), shape(box), oriented_gradients(gray)])
 
@@ -219,13 +322,13 @@ def measure_images(images: DataFrame) -> DataFrame:
     return _map(images, lambda a: {} if a is None else measure(a), MEASURES)
 
 
-def image_features(images: DataFrame) -> DataFrame:
-    """(id, features) with 6249 numbers each."""
+def image_features(images: DataFrame, contrast: bool = False, width: int = 0) -> DataFrame:
+    """(id, features) with 6249 numbers each, as ``feature_vector`` makes them."""
 
     def make(a: np.ndarray | None) -> dict:
         if a is None:
             return {}
-        v = feature_vector(a)
+        v = feature_vector(a, contrast, width)
         if not np.isfinite(v).all():
             raise ValueError("a feature is not finite")
         return {"features": v.tolist()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granaria.functions.paths import stem
 from granaria.functions.vectors import l2
 from granaria.operators import decision as D
 from granaria.operators import images as im
@@ -24,10 +25,10 @@ def image_measures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def image_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and largest of the 6249 features of a synthetic picture for each supplier."""
-    ids = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
-    f = im.image_features(im.synthetic_images(ids, 64))
-    return f.select("id", F.size("features").alias("width"), F.array_max("features").alias("largest"))
+    """The labelled feature matrix: the 6249 features of a synthetic picture for each camera record, beside its labels."""
+    c = table(spark, sf, "camera_manifest").select(F.col("camera_id").alias("id"), "path", "fruit", "status", F.coalesce("group_id", stem(F.col("path"))).alias("group_id")).distinct()
+    f = im.image_features(im.synthetic_images(c.select("id").distinct(), 64))
+    return c.join(f, "id").select("id", "path", "fruit", "status", "group_id", F.transform("features", lambda x: x.cast("float")).alias("features"))
 
 
 def kmeans_prototype_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -66,3 +66,44 @@ def test_models(spark):
     assert len({tuple(r["vec"]) for r in few}) == 1
     with pytest.raises(ValueError, match="known and unknown"):
         fit_gate(df.where("known"), "v", "known", 3)
+
+
+def test_hu_invariants_do_not_turn_or_grow():
+    y, x = np.mgrid[:60, :60]
+    m = ((y - 20) ** 2 / 90 + (x - 30) ** 2 / 400 <= 1) | ((y > 25) & (y < 50) & (x > 30) & (x < 36))
+    hu = im.hu_invariants(m)
+    assert im.hu_invariants(np.rot90(m)) == pytest.approx(hu, abs=1e-9)
+    assert im.hu_invariants(np.kron(m, np.ones((3, 3), bool))) == pytest.approx(hu, rel=0.05, abs=1e-4)
+    assert im.hu_invariants(m[:, ::-1])[:6] == pytest.approx(hu[:6], abs=1e-9)
+    assert im.hu_invariants(m[:, ::-1])[6] == pytest.approx(-hu[6], abs=1e-12)  # the seventh tells mirrored shapes apart
+
+
+def test_lab_of_known_colours():
+    a = np.array([[[255, 255, 255], [0, 0, 0], [255, 0, 0], [0, 0, 255]]], np.uint8)
+    want = [[100, 0, 0], [0, 0, 0], [53.24, 80.09, 67.20], [32.30, 79.19, -107.86]]
+    assert np.abs(im.to_lab(a)[0] - want).max() < 0.02
+    b = np.random.default_rng(0).integers(0, 256, (20, 20, 3)).astype(np.uint8)
+    assert (im.from_lab(im.to_lab(b)) == b).all()
+
+
+def test_filters():
+    r = np.random.default_rng(0)
+    a = r.integers(90, 140, (64, 50, 3)).astype(np.uint8)
+    assert im.smooth(a).astype(float).var() < a.astype(float).var()
+    assert (im.smooth(a, 1) == a).all()
+    with pytest.raises(ValueError, match="odd"):
+        im.smooth(a, 2)
+    assert im.local_contrast(a).shape == a.shape
+    assert im.equalise(a[..., 0]).std() > a[..., 0].std()
+    flat = np.full((16, 16), 7, np.uint8)
+    assert len(np.unique(im.equalise(flat))) == 1
+    box = im.letterbox(np.full((30, 60, 3), 9, np.uint8))
+    assert (box[:56] == 255).all() and (box[56:168] == 9).all() and (box[168:] == 255).all()
+
+
+def test_even_median_makes_even_distances():
+    """63 bits against their median: at most 31 are set, and where values differ exactly 31, so distances are even."""
+    r = np.random.default_rng(3)
+    bits = [im.dct_bits(r.uniform(0, 255, (32, 32))) for _ in range(40)]
+    assert {b.bit_count() for b in bits} == {31}
+    assert all((a ^ b).bit_count() % 2 == 0 for a in bits for b in bits)
