@@ -30,6 +30,20 @@ def test_components(spark):
     assert got == union([p for p in pairs if p[0] != p[1]])
 
 
+def test_hubs_are_split(spark, monkeypatch):
+    """With hubs from ten rows on, results are the same: stars, a hub in the middle of chains, a hot key."""
+    from granaria.operators import components as c
+
+    monkeypatch.setattr(c, "HUB", 10)
+    monkeypatch.setattr(c, "HUBS", 10)
+    pairs = [(0, i) for i in range(1, 90)] + [(i, i + 100) for i in range(1, 90)] + [(500, 400 + i) for i in range(60)] + [(700, 701)]
+    got = {x["v"]: x["root"] for x in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == union(pairs)
+    rows = [(i, "hot") for i in range(50)] + [(i, f"k{i // 2}") for i in range(50, 80)] + [(90, None)]
+    got = dict(map(tuple, link_by_keys(spark.createDataFrame(rows, "id long, k string"), "id", ["k"]).collect()))
+    assert got == {i: 0 if k == "hot" else i if k is None else i - i % 2 for i, k in rows}
+
+
 def test_components_empty(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
