@@ -12,7 +12,7 @@ from granaria.llm.leakage import find_leaks
 from granaria.llm.mixing import mix_sources
 from granaria.llm.overlap import find_overlap, overlap_pairs, overlap_records, overlap_report
 from granaria.llm.residue import judge
-from granaria.llm.splits import assign_splits, broken_groups, manifest_records, split_shares
+from granaria.llm.splits import assign_splits, broken_groups, invariants, manifest_records, split_shares
 from granaria.session import table
 
 
@@ -57,6 +57,11 @@ def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
     return split_shares(p3_splits(spark, sf), _targets(spark, sf))
 
 
+def p3_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each split of each stratum has its share to the nearest record, and groups stay whole."""
+    return invariants(p3_splits(spark, sf), _targets(spark, sf))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return overlap_pairs(find_overlap(table(spark, sf, "manifest"), table(spark, sf, "image_quality")))
 
@@ -105,5 +110,5 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_batches, p3_found, p3_splits, p3_shares, p5_found, p5_records, p5_report, p6_found, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_clean)
+    for f in (p2_found, p2_batches, p3_found, p3_splits, p3_shares, p3_invariants, p5_found, p5_records, p5_report, p6_found, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_clean)
 }

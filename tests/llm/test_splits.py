@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from granaria.llm import splits as sp
@@ -21,15 +22,54 @@ def test_subset_near_is_closest(seed):
     assert abs(total - target) == pytest.approx(best)
 
 
-def test_deal_large_total_uses_every_copy(monkeypatch):
-    monkeypatch.setattr(sp, "EXACT", 500)
-    sizes = {700: 1, 90: 4, 7: 100, 1: 300}
+def test_subset_near_with_many_copies():
+    """Only copies near the relaxed solution stay open, and the sum is still the closest one."""
+    r = random.Random(11)
+    for _ in range(40):
+        items = {r.randint(2, 9): r.randint(1, 400) for _ in range(3)}
+        target = r.uniform(0, sum(s * m for s, m in items.items()))
+        got = sp.subset_near(list(items.items()), target)
+        assert all(n <= items[s] for s, n in got.items())
+        reach = {0}
+        for s, m in items.items():
+            reach = {a + s * k for a in reach for k in range(m + 1)}
+        assert abs(sum(s * n for s, n in got.items()) - target) == pytest.approx(min(abs(x - target) for x in reach))
+
+
+def test_deal_large_total_uses_every_copy():
+    sizes = {700: 1, 90: 4, 7: 100, 1: 3_000_000}
     total = sum(s * m for s, m in sizes.items())
     given = sp.deal(sizes, {k: v * total for k, v in T.items()})
     for s, m in sizes.items():
         assert sum(g.get(s, 0) for g in given.values()) == m
     for k, v in T.items():
-        assert abs(sum(s * n for s, n in given[k].items()) - v * total) <= 2
+        assert abs(sum(s * n for s, n in given[k].items()) - v * total) <= 1
+
+
+def test_place_vectors_leaves_nothing_over_a_target():
+    r = np.random.default_rng(5)
+    vectors = np.unique(np.concatenate([r.integers(0, 40, (60, 8)) * (r.random((60, 8)) < 0.4), [[300] * 8]]), axis=0).astype(float)
+    vectors = vectors[(vectors > 0).sum(1) > 1]
+    copies = r.integers(1, 4, len(vectors))
+    total = (vectors * copies[:, None]).sum(0) * 1.5
+    wants = total[:, None] * np.array([0.6, 0.2, 0.2])
+    given = sp.place_vectors(vectors, copies, wants)
+    assert (given.sum(1) == copies).all()
+    assert np.maximum(vectors.T @ given - wants, 0).sum() == 0
+
+
+def test_groups_with_two_views(spark):
+    """Three labels, six groups of two records each: no group in two splits, and each label near its shares."""
+    rows = [(36 * 0 + label * 12 + g * 2 + view, f"l{label}", None, f"{label}-{g}") for label in range(3) for g in range(6) for view in range(2)]
+    out = sp.assign_splits(records(spark, rows), T).collect()
+    assert len(out) == 36
+    by = {}
+    for x in out:
+        by.setdefault(x["component"], set()).add(x["split"])
+    assert len(by) == 18 and all(len(v) == 1 for v in by.values())
+    for label in range(3):
+        mine = [x["split"] for x in out if x["stratum"] == f"l{label}"]
+        assert [mine.count(s) for s in ("train", "val", "test")] == [8, 2, 2]
 
 
 def records(spark, rows):
