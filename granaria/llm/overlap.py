@@ -1,14 +1,22 @@
 """Same or near-same records across splits.
 
-Method: a weighted cosine join between the train records and the others. A fingerprint is a vector of terms, one for
-each pair of its seven 9-bit blocks; a term's squared weight is the sum of its two block weights, and a block value
-weighs more the rarer it is. Block counts are a table of at most 7 * 512 rows, whatever the input. Fingerprints within
-4 bits share three blocks or more, so their dot product is at least twice the sum of the three least block weights of
-either. The terms of a fingerprint's own lightest (most frequent) block are its residual and stay out of the inverted
-lists: of three shared blocks the two heaviest are the lightest of neither side, so their term, the one of maximum
-weight, is in the lists of both. Weights of shared blocks are equal on both sides and ties go by position, which makes
-that exact. Pairs that meet in a list are verified by their bits, and the dot product is computed exactly. The two
-content hashes are terms of their own that decide alone.
+Method: a weighted cosine join between the train records and the others. The 63 bits are cut into eight blocks, and a
+fingerprint is a vector of 56 terms, one for each three of its blocks; a block value weighs more the rarer it is, and a
+term's squared weight is the sum of its three block weights. Two vectors have equal weights on what they share, so with k
+shared blocks of total weight s their dot product is (k - 1)(k - 2) / 2 * s.
+
+Fingerprints within four bits share four blocks or more, so their dot product is at least three times the weight of the
+four lightest blocks of either: a threshold for each vector. Inverted lists are kept short by three bounds on it:
+
+* residual: 36 of the 56 terms stay out of the lists. They hold no four blocks completely (the lists keep Turan's 20
+  threes), so a pair that meets in residual terms only shares one term, and its dot product stays below the threshold of
+  any pair that is asked for;
+* maximum weight: a block value that the other side doesn't have has maximum weight 0 there. Terms that hold one are
+  left out, and a vector whose remaining norm can't reach its threshold is left out whole;
+* of all lists in which a pair meets only the first counts it, so no candidate is compared or shuffled twice.
+
+Candidates are kept if their exact dot product reaches both thresholds; an exact check of the bits decides. Block counts
+are a table of at most 8 * 256 rows, whatever the input. The two content hashes are terms of their own that decide alone.
 
 All joins run over distinct values (classes); records are attached through membership, and counts come from the counts of
 classes, without expanding copies into pairs.
@@ -26,13 +34,38 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granaria.functions.bits import block, block_layout, hamming
+from granaria.functions.bits import hamming
 from granaria.functions.text import identity
 from granaria.llm.fingerprints import manifest_prints
 from granaria.session import Workspace
 
-BLOCKS, DISTANCE = 7, 4
-LAYOUT = block_layout(BLOCKS)
+#: Block i holds the bits from 8 * i on, so a fingerprint's blocks are its bytes, and so are its packed block weights.
+BLOCKS, WIDTH, DISTANCE = 8, 8, 4
+SHARED = BLOCKS - DISTANCE
+VALUES = 1 << WIDTH
+#: Greatest block weight; above it in an entry of the weight table: whether train and the other side have the value.
+HEAVIEST, IN_TRAIN, IN_OTHER = 127, 1 << 7, 1 << 8
+FLAGS = 0x0101010101010101
+
+
+def turan_threes(n: int) -> list[tuple[int, int, int]]:
+    """Threes of ``n`` things of which any four things hold at least one: three groups on a ring, threes inside a group,
+    and two of a group with one of the next."""
+    group = [i % 3 for i in range(n)]
+
+    def kept(three: tuple[int, int, int]) -> bool:
+        a, b, c = sorted(group[i] for i in three)
+        if a == c:
+            return True
+        if a == b or b == c:
+            pair, single = (a, c) if a == b else (c, a)
+            return single == (pair + 1) % 3
+        return False
+
+    return [t for t in combinations(range(n), 3) if kept(t)]
+
+
+TERMS = turan_threes(BLOCKS)
 
 
 @dataclass(frozen=True)
@@ -41,56 +74,113 @@ class Overlap:
     links: DataFrame  # fp_a (train), fp_b (val or test), distance, cosine
 
 
-def block_weights(prints: DataFrame) -> list[int]:
-    """Weights by block and value, as one list of BLOCKS * 512 whole numbers (thousandths)."""
-    pieces = F.explode(F.array(*[F.lit(i << 9).bitwiseOR(block(F.col("fp"), *LAYOUT[i]).cast("int")) for i in range(BLOCKS)]))
-    counted = prints.select(pieces.alias("b")).groupBy("b").count().collect()  # at most BLOCKS * 512 rows
-    total = sum(r["count"] for r in counted) / BLOCKS
-    out = [round(1000 * math.log(2 + total))] * (BLOCKS << 9)
-    for r in counted:
-        out[r["b"]] = 1 + round(1000 * math.log(1 + total / r["count"]))
+def _block(fp: Column, i: int) -> Column:
+    return F.shiftrightunsigned(fp, WIDTH * i).bitwiseAND(F.lit(VALUES - 1)).cast("int")
+
+
+def _folded(x: Column, *shifts: int) -> Column:
+    for n in shifts:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+    return x
+
+
+def block_weights(sided: DataFrame) -> list[int]:
+    """Entries by block and value, BLOCKS * VALUES whole numbers: the weight, and which sides have the value.
+    ``sided``: fp, in_train, in_eval."""
+    pieces = F.explode(F.array(*[F.lit(i * VALUES) + _block(F.col("fp"), i) for i in range(BLOCKS)]))
+    counted = sided.select(pieces.alias("b"), "in_train", "in_eval").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.max("in_train").alias("t"), F.max("in_eval").alias("e"))
+    rows = counted.collect()  # at most BLOCKS * VALUES rows
+    total = sum(r["n"] for r in rows) / BLOCKS
+    out = [0] * (BLOCKS * VALUES)
+    for r in rows:
+        out[r["b"]] = min(HEAVIEST, 1 + round(5 * math.log(1 + total / r["n"]))) | IN_TRAIN * r["t"] | IN_OTHER * r["e"]
     return out
 
 
-def _weights_of(fp: Column) -> Column:
-    """Array of the seven block weights of a fingerprint, from the one-row table's column ``table``."""
-    return F.array(*[F.get("table", F.lit(i << 9).bitwiseOR(block(fp, *LAYOUT[i]).cast("int"))) for i in range(BLOCKS)])
+def _entries(fp: Column) -> Column:
+    """A fingerprint's eight entries in the one-row table's array ``entries``."""
+    return F.array(*[F.get("entries", F.lit(i * VALUES) + _block(fp, i)) for i in range(BLOCKS)])
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda s, w: s + w)
+
+
+def _factor(k: Column) -> Column:
+    """Threes among k blocks that hold a given one."""
+    return ((k - 1) * (k - 2) / 2).cast("int")
+
+
+def index_terms(prints: DataFrame, weights: DataFrame, other: int) -> DataFrame:
+    """(fp, key, term, packed, least) for the listed terms of each fingerprint. ``other`` is the mark of the other side;
+    ``packed`` holds the block weights in bytes, ``least`` is the dot product that a pair must reach."""
+    x = prints.crossJoin(F.broadcast(weights)).select("fp", F.explode(F.array(_entries(F.col("fp")))).alias("e"))
+    w, there = F.transform("e", lambda v: v.bitwiseAND(F.lit(HEAVIEST))), F.transform("e", lambda v: v.bitwiseAND(F.lit(other)) != 0)
+    x = x.select("fp", F.explode(F.array(F.struct(w.alias("w"), F.zip_with(w, there, lambda a, t: F.when(t, a).otherwise(0)).alias("m")))).alias("x")).select("fp", "x.w", "x.m")
+    packed = F.aggregate(F.reverse("w"), F.lit(0).cast("long"), lambda s, v: F.shiftleft(s, WIDTH).bitwiseOR(v.cast("long")))
+    present = F.aggregate("m", F.lit(0), lambda s, v: F.shiftleft(s, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0)))
+    least = _sum(F.slice(F.sort_array("w"), 1, SHARED)) * _factor(F.lit(SHARED))
+    x = x.select("fp", packed.alias("packed"), least.alias("least"), present.alias("present"), _sum(F.col("m")).alias("heaviest"))
+    k = F.bit_count("present")
+    x = x.where((k >= SHARED) & (_factor(k) * F.col("heaviest") >= F.col("least")))
+    kept = [F.struct(F.lit(n).alias("term"), *[F.lit(i).alias(c) for c, i in zip("ijk", t, strict=True)], F.lit(sum(1 << (BLOCKS - 1 - i) for i in t)).alias("mask")) for n, t in enumerate(TERMS)]
+    x = x.select("fp", "packed", "least", "present", F.explode(F.array(*kept)).alias("t")).where("(present & t.mask) = t.mask")
+    bits = F.expr(" | ".join(["shiftleft(bigint(t.term), 24)", *[f"shiftleft(shiftrightunsigned(fp, {WIDTH} * t.{c}) & {VALUES - 1}, {n})" for c, n in zip("ijk", (16, 8, 0), strict=True)]]))
+    return x.select("fp", bits.alias("key"), "t.term", "packed", "least")
+
+
+def _equal_blocks(a: Column, b: Column) -> Column:
+    """A 1 in each byte in which two fingerprints agree."""
+    d = a.bitwiseXOR(b)
+    d = d.bitwiseOR(F.shiftrightunsigned(d, 4).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F0F)))
+    d = d.bitwiseOR(F.shiftrightunsigned(d, 2).bitwiseAND(F.lit(0x0303030303030303)))
+    return F.bitwise_not(_folded(d, 1)).bitwiseAND(F.lit(FLAGS))
+
+
+def _shared_weight(packed: Column, flags: Column) -> Column:
+    """Sum of the bytes of ``packed`` that are flagged."""
+    mask = flags
+    for n in (1, 2, 4):
+        mask = mask.bitwiseOR(F.shiftleft(mask, n))
+    x, half = packed.bitwiseAND(mask), F.lit(0x00FF00FF00FF00FF)
+    x = x.bitwiseAND(half) + F.shiftrightunsigned(x, 8).bitwiseAND(half)
+    x = x + F.shiftrightunsigned(x, 16)
+    return (x + F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def _first_term(flags: Column) -> Column:
+    """The first listed term inside the flagged blocks, -1 without one; the list of 256 answers is a constant."""
+    first = [next((n for n, t in enumerate(TERMS) if all(m >> i & 1 for i in t)), -1) for m in range(1 << BLOCKS)]
+    return F.get(F.array(*map(F.lit, first)), _folded(flags, 7, 14, 28).bitwiseAND(F.lit(VALUES - 1)).cast("int"))
 
 
-def index_terms(prints: DataFrame, weights: DataFrame) -> DataFrame:
-    """(fp, key) for the terms of each distinct fingerprint that the pruning leaves."""
-    a = prints.crossJoin(F.broadcast(weights)).select("fp", _weights_of(F.col("fp")).alias("a"))
-    lightest = F.array_position("a", F.array_min("a")) - 1  # the first on a tie
-    a = a.select("fp", lightest.cast("int").alias("light"))
-    terms = []
-    for n, (i, j) in enumerate(combinations(range(BLOCKS), 2)):
-        bits = F.shiftleft(block(F.col("fp"), *LAYOUT[i]), LAYOUT[j][1]).bitwiseOR(block(F.col("fp"), *LAYOUT[j]))
-        terms.append(F.when(~F.col("light").isin(i, j), bits.bitwiseOR(F.lit(n << 40))))
-    return a.select("fp", F.explode(F.array(*terms)).alias("key")).where("key is not null")
+def candidates(lists: DataFrame, queries: DataFrame) -> DataFrame:
+    """(fp_a, fp_b, dot): pairs that meet in a list, each once, whose exact dot product reaches the thresholds of both."""
+    a = lists.select(F.col("fp").alias("fp_a"), "key", "term", "packed", F.col("least").alias("least_a"))
+    b = queries.select(F.col("fp").alias("fp_b"), "key", F.col("least").alias("least_b"))
+    flags = _equal_blocks(F.col("fp_a"), F.col("fp_b"))
+    met = a.join(b, "key").where((F.bit_count(flags) >= SHARED) & (_first_term(flags) == F.col("term")))
+    dot = _factor(F.bit_count(flags)) * _shared_weight(F.col("packed"), flags)
+    return met.select("fp_a", "fp_b", "least_a", "least_b", dot.alias("dot")).where(F.col("dot") >= F.greatest("least_a", "least_b")).select("fp_a", "fp_b", "dot")
 
 
 def with_cosine(links: DataFrame, weights: DataFrame) -> DataFrame:
-    """Exact dot product over the shared terms, by the norms. Of k shared blocks each takes part in k - 1 shared terms."""
-    x = links.crossJoin(F.broadcast(weights)).select(*links.columns, _weights_of(F.col("fp_a")).alias("wa"), _weights_of(F.col("fp_b")).alias("wb"))
-    difference = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    same = F.array(*[block(difference, *LAYOUT[i]) == 0 for i in range(BLOCKS)])
-    x = x.withColumn("shared", F.filter(F.zip_with("wa", same, lambda w, s: F.when(s, w)), lambda w: w.isNotNull()))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, w: s + w)
-    dot = (F.size("shared") - 1) * total("shared")
-    return x.select(*links.columns, (F.greatest(F.lit(0.0), dot) / ((BLOCKS - 1) * F.sqrt(total("wa") * total("wb")))).alias("cosine"))
+    """Exact cosine of pairs (fp_a, fp_b, dot, ...): the dot product over the product of the norms."""
+    square = lambda fp: _sum(F.transform(_entries(F.col(fp)), lambda v: v.bitwiseAND(F.lit(HEAVIEST)))) * _factor(F.lit(BLOCKS))
+    x = links.crossJoin(F.broadcast(weights)).select(*links.columns, square("fp_a").alias("na"), square("fp_b").alias("nb"))
+    return x.select(*[c for c in links.columns if c != "dot"], (F.col("dot") / F.sqrt(F.col("na").cast("double") * F.col("nb"))).alias("cosine"))
 
 
 def find_overlap(manifest: DataFrame, quality: DataFrame) -> Overlap:
-    ws = Workspace(manifest.sparkSession, "overlap")
+    spark = manifest.sparkSession
+    ws = Workspace(spark, "overlap")
     prints = manifest_prints(manifest, quality, identity(F.col("split")).alias("split"), "source")
     prints = ws.save(prints.where(F.col("split").isin("train", "val", "test")), "prints")
     sided = ws.save(prints.where("fp is not null").groupBy("fp").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval")), "sided")
-    # one row, at most BLOCKS * 512 numbers
-    weights = ws.save(manifest.sparkSession.createDataFrame([(block_weights(sided),)], "table array<int>"), "weights")
-    lists = index_terms(sided.where("in_train"), weights).select(F.col("fp").alias("fp_a"), "key")
-    queries = index_terms(sided.where("in_eval"), weights).select(F.col("fp").alias("fp_b"), "key")
-    met = lists.join(queries, "key").where(hamming(F.col("fp_a"), F.col("fp_b")) <= DISTANCE).select("fp_a", "fp_b").distinct()
-    met = met.select("fp_a", "fp_b", hamming(F.col("fp_a"), F.col("fp_b")).alias("distance"))
+    # one row of BLOCKS * VALUES numbers
+    weights = ws.save(spark.createDataFrame([(block_weights(sided),)], "entries array<int>"), "weights")
+    lists, queries = index_terms(sided.where("in_train"), weights, IN_OTHER), index_terms(sided.where("in_eval"), weights, IN_TRAIN)
+    met = candidates(lists, queries).withColumn("distance", hamming(F.col("fp_a"), F.col("fp_b"))).where(F.col("distance") <= DISTANCE)
     return Overlap(prints, ws.save(with_cosine(met, weights), "links"))
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from granaria.llm import overlap as ov
@@ -44,21 +45,35 @@ def test_against_brute_force(spark):
     assert ov.overlap_report(o).agg({"records": "sum"}).first()[0] == len(evals)
 
 
-def test_pruning_loses_nothing(spark):
-    # one block value in all prints: its terms are the most frequent and are pruned first
+def test_every_four_blocks_hold_a_listed_three():
+    assert len(ov.TERMS) == 20
+    for n in range(4, 12):
+        threes = ov.turan_threes(n)
+        assert all(any(set(t) <= set(four) for t in threes) for four in itertools.combinations(range(n), 4))
+
+
+def test_pruning_loses_nothing_and_prunes(spark):
+    # one block value in all prints, and prints that only one side has
     r = random.Random(4)
-    base = [(r.getrandbits(54) << 9) & ((1 << 63) - 1) for _ in range(40)]
-    prints = base + [p ^ (1 << r.randint(0, 62)) ^ (1 << r.randint(0, 62)) for p in base]
-    df = spark.createDataFrame([(p,) for p in set(prints)], "fp long")
-    w = spark.createDataFrame([(ov.block_weights(df),)], "table array<int>")
-    terms = {}
-    for x in ov.index_terms(df, w).collect():
-        terms.setdefault(x["fp"], set()).add(x["key"])
-    assert max(map(len, terms.values())) == 15
-    for a in terms:
-        for b in terms:
-            if (a ^ b).bit_count() <= 4:
-                assert terms[a] & terms[b]
+    base = [(r.getrandbits(55) << 8) & ((1 << 63) - 1) for _ in range(60)]
+    near = [p ^ (1 << r.randint(0, 62)) ^ (1 << r.randint(0, 62)) ^ (1 << r.randint(0, 62)) for p in base]
+    rows = [(p, True, False) for p in set(base)] + [(p, False, True) for p in set(near) - set(base)]
+    df = spark.createDataFrame(rows, "fp long, in_train boolean, in_eval boolean")
+    w = spark.createDataFrame([(ov.block_weights(df),)], "entries array<int>")
+    lists, queries = ov.index_terms(df.where("in_train"), w, ov.IN_OTHER), ov.index_terms(df.where("in_eval"), w, ov.IN_TRAIN)
+    got = [(x["fp_a"], x["fp_b"], x["dot"]) for x in ov.candidates(lists, queries).collect()]
+    assert len({x[:2] for x in got}) == len(got)  # each pair once
+    want = {(a, b) for a, t, _ in rows for b, _, e in rows if t and e and (a ^ b).bit_count() <= 4}
+    assert want <= {x[:2] for x in got}
+    assert len(got) <= 3 * len(want)  # of 3600 pairs, all of which share a block
+    assert lists.count() < 20 * 60  # terms whose list is empty on the other side are left out
+    entries = w.first()["entries"]
+    for a, b, dot in got[:20]:
+        vec = {}
+        for fp in (a, b):
+            blocks = [(i, fp >> 8 * i & 255) for i in range(8)]
+            vec[fp] = {t: sum(entries[i * 256 + v] & 127 for i, v in t) for t in itertools.combinations(blocks, 3)}
+        assert dot == sum(v for t, v in vec[a].items() if t in vec[b])
 
 
 def test_empty(spark):
