@@ -1,7 +1,7 @@
 """Same or near-same records across splits.
 
-Method: a weighted cosine join between the train records and the others. The 63 bits are cut into eight blocks, and a
-fingerprint is a vector of 56 terms, one for each three of its blocks; a block value weighs more the rarer it is, and a
+Method: a weighted cosine join between the train records and the others. The 63 bits are cut into eight blocks (bytes),
+and a fingerprint is a vector of 56 terms, one for each three of its blocks; a block value weighs more the rarer it is, and a
 term's squared weight is the sum of its three block weights. Two vectors have equal weights on what they share, so with k
 shared blocks of total weight s their dot product is (k - 1)(k - 2) / 2 * s.
 
@@ -29,45 +29,21 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granaria.functions.bits import hamming
 from granaria.functions.text import identity
-from granaria.llm.fingerprints import manifest_prints
+from granaria.llm.fingerprints import BLOCKS, DISTANCE, TERMS, VALUES, WIDTH, manifest_prints, term_key, terms
 from granaria.session import Workspace
 
-#: Block i holds the bits from 8 * i on, so a fingerprint's blocks are its bytes, and so are its packed block weights.
-BLOCKS, WIDTH, DISTANCE = 8, 8, 4
 SHARED = BLOCKS - DISTANCE
-VALUES = 1 << WIDTH
 #: Greatest block weight; above it in an entry of the weight table: whether train and the other side have the value.
 HEAVIEST, IN_TRAIN, IN_OTHER = 127, 1 << 7, 1 << 8
 FLAGS = 0x0101010101010101
 
 
-def turan_threes(n: int) -> list[tuple[int, int, int]]:
-    """Threes of ``n`` things of which any four things hold at least one: three groups on a ring, threes inside a group,
-    and two of a group with one of the next."""
-    group = [i % 3 for i in range(n)]
-
-    def kept(three: tuple[int, int, int]) -> bool:
-        a, b, c = sorted(group[i] for i in three)
-        if a == c:
-            return True
-        if a == b or b == c:
-            pair, single = (a, c) if a == b else (c, a)
-            return single == (pair + 1) % 3
-        return False
-
-    return [t for t in combinations(range(n), 3) if kept(t)]
-
-
-TERMS = turan_threes(BLOCKS)
-
-
 @dataclass(frozen=True)
 class Overlap:
     prints: DataFrame  # row_id, split, source, sha, pix, fp
@@ -123,10 +99,8 @@ def index_terms(prints: DataFrame, weights: DataFrame, other: int) -> DataFrame:
     x = x.select("fp", packed.alias("packed"), least.alias("least"), present.alias("present"), _sum(F.col("m")).alias("heaviest"))
     k = F.bit_count("present")
     x = x.where((k >= SHARED) & (_factor(k) * F.col("heaviest") >= F.col("least")))
-    kept = [F.struct(F.lit(n).alias("term"), *[F.lit(i).alias(c) for c, i in zip("ijk", t, strict=True)], F.lit(sum(1 << (BLOCKS - 1 - i) for i in t)).alias("mask")) for n, t in enumerate(TERMS)]
-    x = x.select("fp", "packed", "least", "present", F.explode(F.array(*kept)).alias("t")).where("(present & t.mask) = t.mask")
-    bits = F.expr(" | ".join(["shiftleft(bigint(t.term), 24)", *[f"shiftleft(shiftrightunsigned(fp, {WIDTH} * t.{c}) & {VALUES - 1}, {n})" for c, n in zip("ijk", (16, 8, 0), strict=True)]]))
-    return x.select("fp", bits.alias("key"), "t.term", "packed", "least")
+    x = x.select("fp", "packed", "least", "present", F.explode(terms()).alias("t")).where("(present & t.mask) = t.mask")
+    return x.select("fp", term_key(F.col("fp"), F.col("t")).alias("key"), "t.term", "packed", "least")
 
 
 def _equal_blocks(a: Column, b: Column) -> Column:

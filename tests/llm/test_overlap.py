@@ -2,6 +2,7 @@ import itertools
 import random
 
 from granaria.llm import overlap as ov
+from granaria.llm.fingerprints import turan_threes
 
 MAN = "row_id long, path string, source string, sha256 string, split string, k string, key long"
 QUAL = "path string, pixel_sha256 string, phash63 string, fp int"
@@ -48,7 +49,7 @@ def test_against_brute_force(spark):
 def test_every_four_blocks_hold_a_listed_three():
     assert len(ov.TERMS) == 20
     for n in range(4, 12):
-        threes = ov.turan_threes(n)
+        threes = turan_threes(n)
         assert all(any(set(t) <= set(four) for t in threes) for four in itertools.combinations(range(n), 4))
 
 
