@@ -1,7 +1,7 @@
-"""Residue phrases that are neither seeds nor taken from the given documents, written by the hand that wrote the seeds.
+"""Residue phrases that are neither seeds nor taken from the given documents.
 
-For FIRST the misses of the earlier seeds were seen before the later seeds were written; SECOND was written after them and
-the seeds were not changed since, so its recall is the one to quote. PROSE mentions such things in texts of its own.
+FIRST and SECOND are older than the present seeds and were known when these were written; THIRD was written after the seeds,
+which were not changed for it, so its recall is the one to quote. PROSE mentions such things in texts of its own.
 """
 
 FIRST = (
@@ -78,6 +78,31 @@ SECOND = (
     "Falta el texto de esta nota.",
     "Notes to come.",
 )
+THIRD = {
+    "error, English": (
+        "That didn't work. Give it another go in a bit.",
+        "We can't reach the image store just now.",
+        "Your upload was interrupted before it finished.",
+        "Looks like this folder went missing.",
+        "The report you want was taken offline last year.",
+        "You'll need an account with editor rights for that.",
+    ),
+    "error, Vietnamese": ("Không mở được album, thử lại lần nữa nhé.", "Mạng đang chập chờn, dữ liệu chưa tải xong.", "Tệp bị hỏng nên không xem được."),
+    "error, Spanish": ("La carpeta que pidió fue borrada.", "Algo falló al guardar los cambios.", "Se perdió la conexión, vuelva a cargar."),
+    "notice, English": ("Scripts are needed for the photo viewer to run.", "Your privacy matters: choose which cookies we may set.", "Let us check that a person is visiting.", "Update your browser to open this gallery."),
+    "notice, Vietnamese": ("Ứng dụng xem ảnh cần có JavaScript.", "Trang lưu cookie trên máy của bạn, bấm đồng ý để đi tiếp.", "Chờ chút, hệ thống đang xác minh kết nối."),
+    "notice, Spanish": ("El visor de fotos necesita scripts para funcionar.", "Elija qué cookies acepta.", "Compruebe que es humano antes de entrar."),
+    "filler, English": (
+        "Somebody will write this up soon.",
+        "Body copy goes in this box.",
+        "Still blank, check back on Friday.",
+        "Nothing has been entered for this lot.",
+        "Vivamus sagittis lacus vel augue laoreet rutrum faucibus dolor auctor.",
+        "Describe the crate in this field.",
+    ),
+    "filler, Vietnamese": ("Chỗ này sẽ viết sau.", "Đoạn chữ mẫu để xem bố cục.", "Chưa nhập ghi chú cho khay này."),
+    "filler, Spanish": ("Este párrafo se redactará la próxima semana.", "Ponga aquí la nota de la bandeja.", "Texto simulado para la maqueta."),
+}
 PROSE = (
     "The report explains why the portal asks visitors to enable JavaScript, and which of the tablets in the packing hall had it switched off during the Monday round.",
     "We found the missing crate behind the shelf on Tuesday; the page of the log that describes it was torn, so the weights were copied from the second sheet.",
