@@ -10,11 +10,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granaria.functions.hashing import bucket, digest
 from granaria.operators.components import connected_components, link_by_keys
+from granaria.operators.ordering import ranked
 
 
 def ranked_split(groups: DataFrame, group: str, stratum: str, seed: int) -> DataFrame:
@@ -23,12 +24,10 @@ def ranked_split(groups: DataFrame, group: str, stratum: str, seed: int) -> Data
     Three groups or more leave no split empty; two go to train and test; one to train.
     """
     order = digest(F.concat_ws(":", F.lit(str(seed)), F.col(stratum), F.col(group)))
-    w = Window.partitionBy(stratum)
-    n = F.count(F.lit(1)).over(w)
-    r = F.row_number().over(w.orderBy(order, group))
+    n, r = F.col("_n"), F.col("_rank")
     train = F.when(n >= 3, F.least(F.greatest(F.round(n * 0.6), F.lit(1)), n - 2)).otherwise(1)
     val = F.when(n >= 3, F.least(F.greatest(F.round(n * 0.2), F.lit(1)), n - train - 1)).otherwise(0)
-    return groups.select(group, stratum, F.when(r <= train, "train").when(r <= train + val, "val").otherwise("test").alias("split"))
+    return ranked(groups.select(group, stratum), [stratum], order, group).select(group, stratum, F.when(r <= train, "train").when(r <= train + val, "val").otherwise("test").alias("split"))
 
 
 def hash_split(c: Column, seed: int, share: int = 5) -> Column:
@@ -38,8 +37,8 @@ def hash_split(c: Column, seed: int, share: int = 5) -> Column:
 
 def every_nth(rows: DataFrame, by: str, key: str, n: int = 4) -> DataFrame:
     """``rows`` with ``calibration``: every n-th row of a class in order of the key's digest, the first included."""
-    w = Window.partitionBy(by).orderBy(digest(F.col(key).cast("string")), key)
-    return rows.withColumn("calibration", (F.row_number().over(w) - 1) % n == 0)
+    placed = ranked(rows, [by], digest(F.col(key).cast("string")), key)
+    return placed.withColumn("calibration", (F.col("_rank") - 1) % n == 0).drop("_rank", "_n")
 
 
 def component_ids(rows: DataFrame, id_col: str, keys: list[str], name: str, prefix: str = "v2_") -> DataFrame:
@@ -94,6 +93,15 @@ def freeze_and_extend(rows: DataFrame, id_col: str, keys: list[str], frozen: str
     return j.select(id_col, "component").distinct().join(out, "component").select(id_col, "component", "split", "conflict")
 
 
+def freeze_groups(rows: DataFrame, id_col: str, group: str, digest_col: str, split: str) -> DataFrame:
+    """(id, component, split, conflict): the older freeze. Groups that share a digest are one; a component keeps the split it
+    has (several are a conflict, null), and one without any goes to train."""
+    j = rows.select(id_col, split).join(link_by_keys(rows, id_col, [group, digest_col]), id_col)
+    per = j.groupBy("component").agg(F.min(split).alias("lo"), F.max(split).alias("hi"))
+    out = per.select("component", F.when(F.col("lo").isNull(), "train").when(F.col("lo") == F.col("hi"), F.col("lo")).alias("split"), F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).alias("conflict"))
+    return j.select(id_col, "component").distinct().join(out, "component").select(id_col, "component", "split", "conflict")
+
+
 def reviewed_split(rows: DataFrame, id_col: str, keys: list[str], baseline: str, split: str, requested: str, group: str, seed: int) -> DataFrame:
     """(id, split, problem) for new rows linked to a baseline.
 

@@ -181,6 +181,7 @@ def profile(df: DataFrame, load: str, checks: Checks, quantiles: tuple[float, ..
     )
     w = Window.partitionBy("col").orderBy("seq")
     totals = base.select(F.col("load_id"), "col", "seq", F.col("valid").alias("total"), F.coalesce("prev_valid", F.lit(0)).alias("prev_total"), F.coalesce(F.lead("valid").over(w), F.lit(0)).alias("next_total"))
+    counts = ws.save(counts, "counts")  # the range sort reads them twice, once to sample its bounds
     keyed = counts.alias("c").join(totals.alias("t"), F.col("c.load_id").eqNullSafe(F.col("t.load_id")) & (F.col("c.col") == F.col("t.col")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.select("c.col", "seq", "value", "n", "total", "prev_total", "next_total").repartitionByRange(parts, "col", "value").sortWithinPartitions("col", "value", "seq")

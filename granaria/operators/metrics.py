@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granaria.functions.rates import count_if, ratio, safe_div
 from granaria.operators.summary import dense_counts, dimension
+from granaria.operators.quantiles import exact_quantiles
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str, labels: tuple) -> DataFrame:
@@ -100,8 +101,10 @@ def quality_diagnostics(rows: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, n, mean, p95): exact percentile with linear interpolation."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.95).alias("p95"))
+    """(by, n, mean, p95): exact percentile with linear interpolation; null classes are left out."""
+    mean = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    q = exact_quantiles(rows, list(by), value, (0.95,)).select(*by, F.col("q")[0].alias("p95"))
+    return mean.join(q, list(by)) if by else mean.crossJoin(q)  # without classes a row each
 
 
 def score_diagnostics(rows: DataFrame, score: str, flagged: Column, label: str) -> DataFrame:

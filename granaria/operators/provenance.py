@@ -43,12 +43,12 @@ def named_parents(rows: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
 def classify(rows: DataFrame, baseline: DataFrame) -> DataFrame:
     """Rows (camera_id, path, fruit, status, decode_status, sha, pix, declared_new) with references, category and reason.
 
-    A reference is the smallest baseline row with the same content, else the smallest earlier row of the input; earlier
-    is by path. First rows come from aggregates, not windows, so a hot digest is no single task.
+    A reference is a baseline row with the same content, for bytes the last one by row id, for pixels the first, else the
+    smallest earlier row of the input; earlier is by path. First rows come from aggregates, not windows, so a hot digest is no single task.
     """
     out = with_family(rows)
-    for column, name in (("sha", "byte_reference"), ("pix", "pixel_reference")):
-        base = baseline.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("row_id").alias("_b"))
+    for column, name, pick in (("sha", "byte_reference", F.max), ("pix", "pixel_reference", F.min)):
+        base = baseline.where(F.col(column).isNotNull()).groupBy(column).agg(pick("row_id").alias("_b"))
         seen = out.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct("path", "camera_id")).alias("_s"))
         own = F.struct("path", "camera_id")
         out = out.join(base, column, "left").join(seen, column, "left")

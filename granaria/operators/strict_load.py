@@ -1,7 +1,8 @@
 """Strict load of raw CSV records, with the records that can't be loaded set apart with their reason.
 
-Method. The raw offsets (line ids) are kept; only records that conform in dialect, width and values are loaded, typed;
-the loaded offsets are subtracted from the raw ones (anti-join) and only that remainder is diagnosed.
+Method. The raw offsets (line ids, and a hash of the delivered text) are kept; only records that conform in dialect, width
+and values are loaded, typed; the loaded offsets are subtracted from the raw ones (anti-join of offsets, no text is
+shuffled for it), and only the texts of that remainder are read again and diagnosed.
 
 Dialect: comma, fields optionally in double quotes, a quote inside written twice, commas and line breaks allowed inside
 quotes; a byte order mark at the start and a carriage return at the end are no part of the record. Cut at its quotes, a
@@ -10,7 +11,8 @@ touches its quotes with a comma, or is an empty one between two inner pieces (a
 backtracking, so very long records are safe.
 
 Odd input: a null record has one empty field and fails for its columns; empty text likewise; records repeated under
-their id are loaded once per delivery, and the anti-join drops an id from the remainder if any delivery of it loads.
+their id are judged by delivery: a broken one is rejected also where another one of its id loads. Deliveries of one id
+and the same text share their fate, and each is in the output it belongs to.
 """
 
 from __future__ import annotations
@@ -88,15 +90,19 @@ def valid_values(f: Column) -> Column:
 
 def strict_load(raw: DataFrame, key: str = "line_id", text: str = "raw_line") -> Loaded:
     """``rows``: the key and the seven typed fields of every record that conforms; ``rejected``: key, text and reason."""
-    cut = _pieces(raw.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
+    kept = raw.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    cut = _pieces(kept)
     fields = F.when(_well_quoted(F.col("_p")), _fields(F.col("_p")))
     # one-element arrays: a filter on what they hold is not pushed below them, where it would repeat their work
-    cut = cut.select("_key", F.explode(F.array(fields)).alias("_f"))
+    cut = cut.select("_key", "_text", F.explode(F.array(fields)).alias("_f"))
     conforms = F.coalesce((F.size("_f") == len(FIELDS)) & valid_values(F.col("_f")), F.lit(False))
     rows = cut.where(conforms).select(F.col("_key").alias(key), *[F.col("_f")[i].alias(name) for i, name in enumerate(FIELDS)])
     rows = rows.withColumn("split", F.when(F.col("split") != "", F.col("split")))
-    loaded = rows.select(F.col(key).alias("_key"))
-    remainder = _pieces(raw.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(loaded, "_key", "left_anti"))
+
+    offset = F.struct(F.col("_key").alias("key"), F.xxhash64("_text", F.length("_text")).alias("delivery"))
+    loaded = cut.where(conforms).select(offset.alias("_at"))
+    left = kept.select(offset.alias("_at")).join(loaded, "_at", "left_anti").distinct()
+    remainder = _pieces(kept.withColumn("_at", offset).join(left, "_at", "left_semi"))
     rejected = remainder.select(
         F.col("_key").alias(key),
         F.col("_text").alias(text),

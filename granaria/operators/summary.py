@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granaria.functions.tags import split_tags
 from granaria.functions.text import known
+from granaria.operators.quantiles import exact_quantiles
 
 
 def dimension(df: DataFrame, name: str, values: tuple) -> DataFrame:
@@ -29,12 +30,14 @@ def dense_counts(rows: DataFrame, dims: dict[str, tuple]) -> DataFrame:
 def quantile_summary(rows: DataFrame, by: list[str], measures: list[str], points: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9), digits: int | None = 6) -> DataFrame:
     """(by, measure, n, min, p10, ..., max, mean): exact quantiles with linear interpolation, rounded unless ``digits`` is None.
 
-    The values are unpivoted, so all measures share one exact-percentile aggregate; groups here are classes. For columns
-    of any size without groups use the column profile, which never holds a value list.
+    The values are unpivoted, so all measures share one range sort.
     """
     long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures])).alias("x")).select(*by, "x.*").where("v is not null and not isnan(v)")
-    q = F.expr(f"percentile(v, array({', '.join(map(str, points))}))")
-    s = long.groupBy(*by, "measure").agg(F.count("v").alias("n"), F.min("v").alias("lo"), q.alias("q"), F.max("v").alias("hi"), F.avg("v").alias("m"))
+    keys = [*by, "measure"]
+    s = long.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("m")).alias("s")
+    q = exact_quantiles(long, keys, "v", points).alias("q")
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"q.{c}")) for c in keys])
+    s = s.join(q, same).select(*[f"s.{c}" for c in (*keys, "n", "lo", "hi", "m")], "q.q")
     rnd = lambda c: c if digits is None else F.round(c, digits)
     return s.select(*by, "measure", "n", rnd(F.col("lo")).alias("min"), *[rnd(F.col("q")[i]).alias(f"p{round(p * 100):02d}") for i, p in enumerate(points)], rnd(F.col("hi")).alias("max"), rnd(F.col("m")).alias("mean"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granaria.functions.rates import count_if, safe_div
+from granaria.operators.quantiles import exact_quantiles
 
 BUCKETS = 1024
 
@@ -41,8 +42,8 @@ def select_threshold(rows: DataFrame, score: str, known: str, min_known_accept:
     s = sweep(rows, score, known)
     key = F.struct("unknown_reject", "known_accept", "threshold")
     best = s.where(F.col("known_accept") + 1e-12 >= min_known_accept).agg(F.max(key).alias("k"))
-    spare = rows.where(known).agg(F.percentile(score, max(0.0, 1.0 - min_known_accept)).alias("q"))
-    return best.crossJoin(spare).select(F.coalesce("k.threshold", "q").alias("threshold"), F.col("k.known_accept").alias("known_accept"), F.col("k.unknown_reject").alias("unknown_reject"))
+    spare = exact_quantiles(rows.where(known), [], score, (max(0.0, 1.0 - min_known_accept),)).select(F.col("q")[0].alias("q"))
+    return best.join(spare, how="left").select(F.coalesce("k.threshold", "q").alias("threshold"), F.col("k.known_accept").alias("known_accept"), F.col("k.unknown_reject").alias("unknown_reject"))
 
 
 def grid_search(rows: DataFrame, probabilities: list[float], margins: list[float]) -> DataFrame:

@@ -11,7 +11,7 @@ from granaria.functions.text import identity, known, path_key
 from granaria.operators import identity as I  # noqa: E741
 from granaria.operators import ordering, rules
 from granaria.operators.hamming import near_pairs
-from granaria.plans.common import QUAL, REC, ident, pathk, quality, rec
+from granaria.plans.common import PRINTS, QUAL, REC, fingerprints, ident, pathk, quality, rec
 from granaria.session import table
 
 
@@ -71,7 +71,7 @@ def content_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of different fingerprints at most four bits apart, with the records that carry each (copies stay classes)."""
-    q = quality(spark, sf).where("fp is not null")
+    q = fingerprints(spark, sf)
     size = q.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     side = lambda x: size.select(F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"))
     return near_pairs(q).join(side("a"), "fp_a").join(side("b"), "fp_b").select("fp_a", "fp_b", "distance", "n_a", "n_b")
@@ -79,8 +79,8 @@ def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def nearest_match(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest baseline fingerprint of every camera record that has one within four bits; ties by smaller fingerprint."""
-    camera, q = _camera(spark, sf), quality(spark, sf)
-    close = near_pairs(camera, q)
+    camera = _camera(spark, sf)
+    close = near_pairs(camera, fingerprints(spark, sf))
     best = close.groupBy(F.col("fp_a").alias("fp")).agg(F.min(F.struct("distance", F.col("fp_b").alias("reference"))).alias("m"), F.count(F.lit(1)).alias("candidates"))
     return camera.join(best, "fp").select("camera_id", "m.distance", "m.reference", "candidates")
 
@@ -186,9 +186,9 @@ SELECT a.part AS split_a, b.part AS split_b, count(*) AS groups FROM s a JOIN s
 m AS (SELECT c.ref, 'SHA256' AS kind, o.ref AS other FROM refs c JOIN refs o ON c.sha = o.sha AND c.ref <> o.ref WHERE c.ref LIKE 'camera:%'
  UNION SELECT c.ref, 'DECODED_PIXEL', o.ref FROM refs c JOIN refs o ON c.pix = o.pix AND c.ref <> o.ref WHERE c.ref LIKE 'camera:%')
 SELECT ref, array_to_string(list_sort(list(DISTINCT kind)), ';') AS kinds, count(*) AS matches, min(other) AS first_match FROM m GROUP BY ref""",
-    "near_duplicate_pairs": f"""WITH {QUAL}, f AS (SELECT fp, count(*) AS n FROM qual WHERE fp IS NOT NULL GROUP BY fp)
+    "near_duplicate_pairs": f"""WITH {PRINTS}, f AS (SELECT fp, count(*) AS n FROM fps WHERE fp IS NOT NULL GROUP BY fp)
 SELECT a.fp AS fp_a, b.fp AS fp_b, bit_count(xor(a.fp, b.fp)) AS distance, a.n AS n_a, b.n AS n_b FROM f a JOIN f b ON a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= 4""",
-    "nearest_match": f"""WITH {QUAL}, {_CAM}, f AS (SELECT DISTINCT fp FROM qual WHERE fp IS NOT NULL), c AS (SELECT DISTINCT fp FROM cam WHERE fp IS NOT NULL),
+    "nearest_match": f"""WITH {PRINTS}, {_CAM}, f AS (SELECT DISTINCT fp FROM fps WHERE fp IS NOT NULL), c AS (SELECT DISTINCT fp FROM cam WHERE fp IS NOT NULL),
 m AS (SELECT c.fp, bit_count(xor(c.fp, f.fp)) AS distance, f.fp AS reference FROM c JOIN f ON bit_count(xor(c.fp, f.fp)) <= 4),
 b AS (SELECT fp, min(distance) AS distance, arg_min(reference, (distance, reference)) AS reference, count(*) AS candidates FROM m GROUP BY fp)
 SELECT camera_id, distance, reference, candidates FROM cam JOIN b USING (fp)""",

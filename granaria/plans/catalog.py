@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granaria.plans import audits, curation, evaluation, modelling, quality
+from granaria.plans import audits, curation, evaluation, files, modelling, quality
 
-MODULES = (quality, audits, curation, evaluation, modelling)
+MODULES = (quality, audits, curation, files, evaluation, modelling)
 
 
 def queries() -> dict:

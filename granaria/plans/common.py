@@ -23,21 +23,35 @@ def pathk(c: str) -> str:
 
 REC = f"""rec AS (SELECT DISTINCT row_id, path, fruit, status, source, {pathk("path")} AS path_k, {ident("sha256")} AS sha, {ident("group_id")} AS grp, {ident("split")} AS part FROM manifest)"""
 
-QUAL = f"""qual AS (SELECT path, arg_max(width, (inspected_at, load_id)) AS width, arg_max(height, (inspected_at, load_id)) AS height, arg_max(brightness, (inspected_at, load_id)) AS brightness, arg_max(blur_score, (inspected_at, load_id)) AS blur_score,
+QUAL = f"""qual AS (SELECT path, arg_max(width, (inspected_at, load_id)) AS width, arg_max(height, (inspected_at, load_id)) AS height,
+  arg_max(CASE WHEN NOT isnan(brightness) THEN brightness END, (inspected_at, load_id)) AS brightness, arg_max(CASE WHEN NOT isnan(blur_score) THEN blur_score END, (inspected_at, load_id)) AS blur_score,
   max({ident("pixel_sha256")}) AS pix, max(TRY_CAST('0x' || {ident("phash63")} AS BIGINT)) AS fp FROM image_quality GROUP BY path)"""
 
 
+#: Every fingerprint of a path, however often it was inspected.
+PRINTS = f"""fps AS (SELECT DISTINCT path, TRY_CAST('0x' || {ident("phash63")} AS BIGINT) AS fp FROM image_quality)"""
+
+
+def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, fp) of every fingerprint that an inspection of a path gave."""
+    from granaria.functions.bits import parse_hex63
+    from granaria.functions.text import identity
+
+    return table(spark, sf, "image_quality").select("path", parse_hex63(identity(F.col("phash63"))).alias("fp")).where("fp is not null").distinct()
+
+
 def rec(spark: SparkSession, sf: str) -> DataFrame:
     return records(table(spark, sf, "manifest"))
 
 
 def quality(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per path: the latest non-null measure of each kind and its fingerprints."""
+    """One row per path: the latest measure of each kind that is a number, and its greatest fingerprint."""
     from granaria.functions.bits import parse_hex63
     from granaria.functions.text import identity
 
     order = F.struct("inspected_at", "load_id")
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    latest = lambda c: F.max_by(c, F.when(number(c), order)).alias(c)
     rows = table(spark, sf, "image_quality").select(
         "path", "width", "height", "brightness", "blur_score", "inspected_at", "load_id",
         identity(F.col("pixel_sha256")).alias("pix"), parse_hex63(identity(F.col("phash63"))).alias("fp"),

@@ -16,8 +16,8 @@ from granaria.operators import decision as D
 from granaria.operators import merge, ordering, provenance
 from granaria.operators import summary as S
 from granaria.operators.components import connected_components
-from granaria.operators.hamming import near_pairs
-from granaria.plans.common import quality, rec
+from granaria.operators.hamming import duplicates_across, near_pairs
+from granaria.plans.common import fingerprints, quality, rec
 from granaria.plans.curation_sql import SQL  # noqa: F401
 from granaria.session import table
 
@@ -193,7 +193,7 @@ def component_group_build(spark: SparkSession, sf: str) -> DataFrame:
 
 def component_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Components of the near-duplicate graph of fingerprints."""
-    pairs = near_pairs(quality(spark, sf))
+    pairs = near_pairs(fingerprints(spark, sf))
     return connected_components(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))).select(F.col("v").alias("fp"), "root")
 
 
@@ -220,6 +220,19 @@ def freeze_and_extend(spark: SparkSession, sf: str) -> DataFrame:
     return A.freeze_and_extend(r, "row_id", ["grp", "sha"], "part", "label", 42)
 
 
+def freeze_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The older freeze: groups joined by digests keep their split, new ones go to train."""
+    return A.freeze_groups(rec(spark, sf).select("row_id", "grp", "sha", "part"), "row_id", "grp", "sha", "part")
+
+
+def cross_group_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate pairs of records that the pixel deduplication keeps and whose groups differ, the earlier path first."""
+    seen = table(spark, sf, "image_quality").select("path", parse_hex63(identity(F.col("phash63"))).alias("fp"), identity(F.col("pixel_sha256")).alias("pix")).distinct()
+    r = rec(spark, sf).select("row_id", "path", "path_k", F.coalesce("grp", F.concat(F.lit("#"), "row_id")).alias("grp")).join(seen, "path")
+    kept = ordering.keep_first(r, "pix", ["path_k"], "row_id").where("kept and fp is not null").select("row_id", "path_k", "grp", "fp").distinct()
+    return duplicates_across(kept)
+
+
 def reviewed_split(spark: SparkSession, sf: str) -> DataFrame:
     """Camera records against the frozen manifest: linked by group, digest, pixels and specimen."""
     c = _camera(spark, sf).select(
@@ -268,11 +281,22 @@ def _baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Camera records merged into the manifest by digest: split only on insert, source filled, label always taken."""
-    cols = lambda df, split, source: df.where("sha is not null").groupBy("sha").agg(F.min("fruit").alias("fruit"), F.min(split).alias("split"), F.min(source).alias("source"))
-    existing = cols(rec(spark, sf), "part", "source")
-    incoming = cols(_camera(spark, sf).withColumn("sha", identity(F.col("sha256"))), "requested_split", "source")
-    return merge.upsert(existing, incoming, "sha", ["fruit"], ["split"], ["source"])
+    """Camera records merged into the manifest by digest: split only on insert, source filled, another label refused."""
+    existing, incoming = _merge_sides(spark, sf)
+    return merge.upsert(existing, incoming, "sha", ["fruit", "status"], ["split"], ["source"], guard=["fruit", "status"], order=["id"])
+
+
+def upsert_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests whose incoming labels differ from each other or from the manifest's."""
+    return merge.conflicts(*_merge_sides(spark, sf), "sha", ["fruit", "status"])
+
+
+def _merge_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    cols = ("fruit", "status", "split", "source")
+    first = F.min(F.struct("row_id", "fruit", "status", F.col("part").alias("split"), "source")).alias("r")
+    existing = rec(spark, sf).where("sha is not null").groupBy("sha").agg(first).select("sha", *[f"r.{c}" for c in cols])
+    incoming = _camera(spark, sf).select(F.col("camera_id").alias("id"), identity(F.col("sha256")).alias("sha"), "fruit", "status", F.col("requested_split").alias("split"), "source")
+    return existing, incoming
 
 
 def version_record(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,7 +331,7 @@ QUERIES = {
     for f in (
         label_split_counts, missing_buckets, audit_counts, quality_profile, min_side_histogram, tag_counts, completeness, hard_case_tags, inventory_report, count_thresholds,
         db_group_summary, metric_melt, json_matches, event_props, quality_flags, quality_verdicts, plain_gate, dedup_keep_first, first_seen_reference, repeats_within_source,
-        first_per_class, best_epoch, split_stratified, split_hash, component_group_hash, component_group_build, component_ids, coassign_split, merge_report, freeze_and_extend, reviewed_split,
-        filename_kinds, filename_families, parent_families, provenance_classes, provenance_report, upsert_merge, version_record, group_split_update, union_counts, content_hashes, path_parts,
+        first_per_class, best_epoch, split_stratified, split_hash, component_group_hash, component_group_build, component_ids, coassign_split, merge_report, freeze_and_extend, freeze_groups, cross_group_pairs, reviewed_split,
+        filename_kinds, filename_families, parent_families, provenance_classes, provenance_report, upsert_merge, upsert_conflicts, version_record, group_split_update, union_counts, content_hashes, path_parts,
     )
 }

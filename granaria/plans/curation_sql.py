@@ -1,6 +1,6 @@
 """Plain SQL of the curation queries."""
 
-from granaria.plans.common import QUAL, REC, ident, pathk
+from granaria.plans.common import PRINTS, QUAL, REC, ident, pathk
 
 _CAM = "cam AS (SELECT DISTINCT * EXCLUDE (received_at) FROM camera_manifest)"
 _SET = "('', 'UNKNOWN', 'NOT_AVAILABLE', 'UNASSIGNED', 'NONE')"
@@ -41,7 +41,7 @@ per AS (SELECT component, count(DISTINCT label) AS labels, min(label) AS stratum
 done AS (SELECT row_id, grp, j.component, coalesce(rk.split, 'train') AS split FROM j LEFT JOIN rk USING (component))"""
 _PROV = f"""{REC}, {QUAL}, {_CAM}, base AS (SELECT r.*, q.pix FROM rec r LEFT JOIN qual q USING (path)),
 inp AS (SELECT camera_id, path, fruit, status, decode_status, {ident("sha256")} AS sha, {ident("pixel_sha256")} AS pix, review_status = 'APPROVED' AND upper(trim(specimen_id)) NOT IN {_SET} AND upper(trim(session_id)) NOT IN {_SET} AS declared FROM cam),
-{kinds("inp")}, bs AS (SELECT sha, min(row_id) AS b FROM base WHERE sha IS NOT NULL GROUP BY sha), bp AS (SELECT pix, min(row_id) AS b FROM base WHERE pix IS NOT NULL GROUP BY pix),
+{kinds("inp")}, bs AS (SELECT sha, max(row_id) AS b FROM base WHERE sha IS NOT NULL GROUP BY sha), bp AS (SELECT pix, min(row_id) AS b FROM base WHERE pix IS NOT NULL GROUP BY pix),
 fs AS (SELECT sha, min((path, camera_id)) AS f FROM inp WHERE sha IS NOT NULL GROUP BY sha), fpx AS (SELECT pix, min((path, camera_id)) AS f FROM inp WHERE pix IS NOT NULL GROUP BY pix),
 par AS (SELECT DISTINCT fruit, status, family FROM (WITH {kinds("base")} SELECT * FROM kinds) WHERE family IS NOT NULL AND kind = 'candidate_original'),
 refs AS (SELECT k.camera_id, k.fruit, k.status, k.decode_status, k.declared, k.kind,
@@ -50,6 +50,17 @@ refs AS (SELECT k.camera_id, k.fruit, k.status, k.decode_status, k.declared, k.k
 cls AS (SELECT *, CASE WHEN coalesce(decode_status <> 'OK', true) THEN 'corrupt' WHEN byte_reference IS NOT NULL OR pixel_reference IS NOT NULL THEN 'exact_duplicate' WHEN kind = 'offline_augmentation' AND parent THEN 'probable_augmentation' WHEN declared THEN 'probable_new_image' ELSE 'unknown' END AS category,
   CASE WHEN coalesce(decode_status <> 'OK', true) THEN 'decode_or_read_failed' WHEN byte_reference IS NOT NULL THEN 'sha256_exact_match' WHEN pixel_reference IS NOT NULL THEN 'decoded_rgb_pixels_exact_match' WHEN kind = 'offline_augmentation' AND parent THEN 'explicit_transform_filename_and_available_named_parent' WHEN declared THEN 'declared_source_and_label_evidence_require_human_review' ELSE 'insufficient_parent_or_independent_source_evidence' END AS reason FROM refs)"""
 
+_MERGE = f"""{REC}, {_CAM}, c AS (SELECT camera_id, {ident("sha256")} AS sha, fruit, status, requested_split AS split, source FROM cam),
+e AS (SELECT sha, fruit, status, part AS split, source FROM rec WHERE sha IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sha ORDER BY row_id) = 1),
+i AS (SELECT sha, fruit, status, split, source FROM c WHERE sha IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sha ORDER BY camera_id) = 1),
+g AS (SELECT sha, min(coalesce(fruit, '')) AS f0, max(coalesce(fruit, '')) AS f1, min(coalesce(status, '')) AS s0, max(coalesce(status, '')) AS s1 FROM c WHERE sha IS NOT NULL GROUP BY sha),
+j AS (SELECT e, i, f0, f1, s0, s1, coalesce(f0 <> f1 OR s0 <> s1 OR coalesce(e.fruit <> f0, false) OR coalesce(e.status <> s0, false), false) AS bad FROM e FULL JOIN i ON e.sha = i.sha LEFT JOIN g ON g.sha = i.sha)"""
+
+_FROZEN = f"""key_ AS (SELECT row_id, 'g' || grp AS k FROM rec WHERE grp IS NOT NULL UNION ALL SELECT row_id, 's' || sha FROM rec WHERE sha IS NOT NULL),
+star AS (SELECT row_id, min(row_id) OVER (PARTITION BY k) AS c FROM key_), raw AS (SELECT row_id AS v, c AS w FROM star WHERE row_id <> c), edge AS (SELECT v, w FROM raw UNION SELECT w, v FROM raw), {_REACH},
+j AS (SELECT row_id, part, fruit || '::' || status AS label, coalesce(root, row_id) AS component FROM rec LEFT JOIN comp ON comp.v = row_id),
+per AS (SELECT component, min(part) AS lo, max(part) AS hi, count(DISTINCT label) AS labels, min(label) AS stratum FROM j GROUP BY component)"""
+
 SQL = {
     "label_split_counts": f"""WITH {REC} SELECT f AS fruit, s AS status, p AS part, (SELECT count(*) FROM rec WHERE fruit = f AND status = s AND coalesce(rec.part, '') = p) AS n
 FROM (SELECT unnest(['apple','banana','orange','tomato']) AS f) CROSS JOIN (SELECT unnest(['fresh','rotten']) AS s) CROSS JOIN (SELECT unnest(['train','val','test','']) AS p)""",
@@ -92,8 +103,31 @@ SELECT row_id, m[2] AS duplicate_of FROM j JOIN f USING (pix) WHERE row_id <> m[
 key_ AS (SELECT row_id, 's' || sha AS k FROM kinds WHERE sha IS NOT NULL UNION ALL SELECT row_id, 'p' || pix FROM kinds WHERE pix IS NOT NULL UNION ALL SELECT row_id, 'f' || family FROM kinds WHERE family IS NOT NULL),
 star AS (SELECT row_id, min(row_id) OVER (PARTITION BY k) AS c FROM key_), raw AS (SELECT row_id AS v, c AS w FROM star WHERE row_id <> c), edge AS (SELECT v, w FROM raw UNION SELECT w, v FROM raw), {_REACH},
 j AS (SELECT row_id, path_k, coalesce(root, row_id) AS component FROM rec LEFT JOIN comp ON comp.v = row_id), h AS (SELECT component, 'v2_' || sha256(string_agg(path_k, chr(10) ORDER BY path_k))[1:32] AS group_hash FROM j GROUP BY component) SELECT row_id, component, group_hash FROM j JOIN h USING (component)""",
-    "component_ids": f"""WITH RECURSIVE {QUAL}, f AS (SELECT DISTINCT fp FROM qual WHERE fp IS NOT NULL), edge AS (SELECT a.fp AS v, b.fp AS w FROM f a JOIN f b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 4), {_REACH} SELECT v AS fp, root FROM comp""",
+    "component_ids": f"""WITH RECURSIVE {PRINTS}, f AS (SELECT DISTINCT fp FROM fps WHERE fp IS NOT NULL), edge AS (SELECT a.fp AS v, b.fp AS w FROM f a JOIN f b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 4), {_REACH} SELECT v AS fp, root FROM comp""",
     "coassign_split": f"{_COASSIGN} SELECT row_id, component, split FROM done",
+    "freeze_and_extend": f"""WITH RECURSIVE {REC}, {_FROZEN}, fresh AS (SELECT component, stratum FROM per WHERE lo IS NULL AND labels = 1), {ranked("fresh", "component")}
+SELECT j.row_id, j.component, CASE WHEN lo = hi THEN lo WHEN lo IS NULL THEN coalesce(rk.split, 'train') END AS split, coalesce(lo <> hi, false) AS conflict FROM j JOIN per USING (component) LEFT JOIN rk USING (component)""",
+    "freeze_groups": f"""WITH RECURSIVE {REC}, {_FROZEN} SELECT row_id, component, CASE WHEN lo = hi THEN lo WHEN lo IS NULL THEN 'train' END AS split, coalesce(lo <> hi, false) AS conflict FROM j JOIN per USING (component)""",
+    "reviewed_split": f"""WITH RECURSIVE {REC}, {QUAL}, {_CAM},
+al AS (SELECT DISTINCT camera_id + 1000000000 AS id, false AS base, NULL::VARCHAR AS part, {ident("requested_split")} AS req, {ident("group_id")} AS grp, {ident("sha256")} AS sha, {ident("pixel_sha256")} AS pix, CASE WHEN upper(trim(specimen_id)) NOT IN {_SET} THEN specimen_id END AS spec FROM cam
+ UNION ALL SELECT r.row_id, true, r.part, NULL, r.grp, r.sha, q.pix, NULL FROM rec r LEFT JOIN qual q USING (path)),
+key_ AS (SELECT id, 'g' || grp AS k FROM al WHERE grp IS NOT NULL UNION ALL SELECT id, 's' || sha FROM al WHERE sha IS NOT NULL UNION ALL SELECT id, 'p' || pix FROM al WHERE pix IS NOT NULL UNION ALL SELECT id, 'm' || spec FROM al WHERE spec IS NOT NULL),
+star AS (SELECT id, min(id) OVER (PARTITION BY k) AS c FROM key_), raw AS (SELECT id AS v, c AS w FROM star WHERE id <> c), edge AS (SELECT v, w FROM raw UNION SELECT w, v FROM raw), {_REACH},
+j AS (SELECT al.*, coalesce(root, id) AS component FROM al LEFT JOIN comp ON comp.v = id),
+per AS (SELECT component, min(CASE WHEN base THEN part WHEN req IN ('train', 'val') THEN req END) AS lo, max(CASE WHEN base THEN part WHEN req IN ('train', 'val') THEN req END) AS hi, coalesce(bool_or(base AND part = 'test'), false) AS test, bool_or(NOT base) AS fresh, coalesce(min(grp), component::VARCHAR) AS g FROM j GROUP BY component),
+o AS (SELECT component, CASE WHEN lo <> hi THEN 'crosses_splits' WHEN test AND fresh THEN 'touches_test' END AS problem, coalesce(lo, CASE WHEN ('0x' || sha256('42:' || g)[1:16])::UBIGINT % 5 = 0 THEN 'val' ELSE 'train' END) AS s FROM per)
+SELECT id, CASE WHEN problem IS NULL THEN s END AS split, problem FROM j JOIN o USING (component) WHERE NOT base""",
+    "best_epoch": """WITH RECURSIVE d0 AS (SELECT event_type, date_diff('day', DATE '2020-01-01', ts::DATE) AS step, round(avg(value), 6) AS score, round(max(value), 6) AS loss FROM events GROUP BY ALL),
+d AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY step) AS rn FROM d0),
+f(event_type, rn, best_step, best, tie, bad, stop) AS (SELECT DISTINCT event_type, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, 0, NULL::BIGINT FROM d
+ UNION ALL SELECT f.event_type, d.rn, CASE WHEN stop IS NULL AND b THEN step ELSE best_step END, CASE WHEN stop IS NULL AND b THEN score ELSE best END, CASE WHEN stop IS NULL AND b THEN loss ELSE tie END,
+  CASE WHEN stop IS NOT NULL THEN bad WHEN b THEN 0 ELSE bad + 1 END, CASE WHEN stop IS NULL AND NOT b AND bad + 1 >= 5 THEN step ELSE stop END
+  FROM f JOIN d ON d.event_type = f.event_type AND d.rn = f.rn + 1, LATERAL (SELECT best IS NULL OR score > best + 1e-6 OR (abs(score - best) <= 1e-6 AND loss < tie) AS b))
+SELECT event_type, best_step, best AS best_value, stop AS stopped_at FROM f QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY rn DESC) = 1""",
+    "cross_group_pairs": f"""WITH {REC}, fps AS (SELECT DISTINCT path, TRY_CAST('0x' || {ident("phash63")} AS BIGINT) AS fp, {ident("pixel_sha256")} AS pix FROM image_quality),
+r AS (SELECT row_id, path_k, coalesce(grp, '#' || row_id) AS grp, fp, pix FROM rec JOIN fps USING (path)), first AS (SELECT pix, min((path_k, row_id)) AS m FROM r WHERE pix IS NOT NULL GROUP BY pix),
+kept AS (SELECT DISTINCT row_id, path_k, grp, fp FROM r LEFT JOIN first USING (pix) WHERE fp IS NOT NULL AND (m IS NULL OR m = (path_k, row_id)))
+SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, min(bit_count(xor(a.fp, b.fp))) AS distance FROM kept a JOIN kept b ON a.grp <> b.grp AND (a.path_k, a.row_id) < (b.path_k, b.row_id) AND bit_count(xor(a.fp, b.fp)) <= 4 GROUP BY ALL""",
     "merge_report": f"""{_COASSIGN}, p AS (SELECT component, grp, count(*) AS n FROM done GROUP BY ALL), q AS (SELECT component, count(*) AS olds, sum(n) AS size FROM p GROUP BY component), og AS (SELECT grp, count(*) AS news FROM p GROUP BY grp)
 SELECT (SELECT count(*) FROM q) AS new_groups, (SELECT count(*) FROM q WHERE olds > 1) AS merged_components, (SELECT max(size)::BIGINT FROM q) AS largest, (SELECT count(*) FROM og) AS old_groups, (SELECT count(*) FROM og WHERE news > 1) AS split_old_groups""",
     "filename_kinds": f"WITH {REC}, {kinds('rec')} SELECT kind, reason, agrees, count(*) AS n FROM kinds GROUP BY ALL",
@@ -103,8 +137,11 @@ SELECT count(*) AS families, count(*) FILTER (splits > 1) AS families_across, co
 SELECT camera_id, parents, splits FROM kinds JOIN b USING (fruit, status, family)""",
     "provenance_classes": f"WITH {_PROV} SELECT camera_id, category, reason, byte_reference, pixel_reference FROM cls",
     "provenance_report": f"WITH {_PROV} SELECT category, reason, fruit, status, count(*) AS n FROM cls GROUP BY ALL",
-    "upsert_merge": f"""WITH {REC}, {_CAM}, e AS (SELECT sha, min(fruit) AS fruit, min(part) AS split, min(source) AS source FROM rec WHERE sha IS NOT NULL GROUP BY sha), i AS (SELECT {ident("sha256")} AS sha, min(fruit) AS fruit, min(requested_split) AS split, min(source) AS source FROM cam WHERE {ident("sha256")} IS NOT NULL GROUP BY ALL)
-SELECT coalesce(e.sha, i.sha) AS sha, coalesce(i.fruit, e.fruit) AS fruit, CASE WHEN e.sha IS NULL THEN i.split ELSE e.split END AS split, coalesce(e.source, i.source) AS source, CASE WHEN e.sha IS NULL THEN 'inserted' WHEN i.sha IS NOT NULL THEN 'updated' ELSE 'kept' END AS action FROM e FULL JOIN i ON e.sha = i.sha""",
+    "upsert_merge": f"""WITH {_MERGE} SELECT coalesce(e.sha, i.sha) AS sha, CASE WHEN bad THEN e.fruit ELSE coalesce(i.fruit, e.fruit) END AS fruit, CASE WHEN bad THEN e.status ELSE coalesce(i.status, e.status) END AS status,
+CASE WHEN e.sha IS NULL THEN i.split ELSE e.split END AS split, CASE WHEN bad THEN e.source ELSE coalesce(e.source, i.source) END AS source,
+CASE WHEN bad THEN 'conflict' WHEN e.sha IS NULL THEN 'inserted' WHEN i.sha IS NOT NULL THEN 'updated' ELSE 'kept' END AS action FROM j WHERE NOT (bad AND e.sha IS NULL)""",
+    "upsert_conflicts": f"""WITH {_MERGE} SELECT i.sha AS sha, 'fruit' AS column_name, e.fruit AS existing, f0 AS least, f1 AS greatest FROM j WHERE bad AND (f0 <> f1 OR e.fruit <> f0)
+UNION ALL SELECT i.sha, 'status', e.status, s0, s1 FROM j WHERE bad AND (s0 <> s1 OR e.status <> s0)""",
     "version_record": f"WITH {REC} SELECT 'v1' AS version, coalesce(part, 'UNASSIGNED') || '/' || fruit || '/' || status AS bucket, count(*) AS n FROM rec GROUP BY ALL",
     "group_split_update": f"WITH {REC}, {_GROUPS}, {ranked('groups_')} SELECT row_id, rec.grp, coalesce(rk.split, part) AS split FROM rec LEFT JOIN rk ON rk.grp = rec.grp",
     "union_counts": f"""WITH {REC}, {_CAM} SELECT 'manifest' AS origin, fruit, status, count(*) AS n, count(part) AS with_split, 0 AS batches FROM rec GROUP BY ALL UNION ALL SELECT 'camera', fruit, status, count(*), 0, count(DISTINCT batch_no) FROM cam GROUP BY ALL""",

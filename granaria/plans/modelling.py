@@ -11,7 +11,7 @@ from granaria.operators import decision as D
 from granaria.operators import images as im
 from granaria.operators.models import fit_gate, kmeans_prototypes
 from granaria.operators.rules import violations
-from granaria.plans.common import predictions, rec
+from granaria.plans.common import REC, predictions, rec
 from granaria.plans.evaluation import _scored
 from granaria.session import Workspace, table
 from granaria.sources import scans, sinks
@@ -65,7 +65,15 @@ def ext_event_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (image_measures, image_features, kmeans_prototype_table, gate_fit, csv_round_trip, ext_event_windows, ext_event_sessions)}
 
+_BROKEN = r"""SELECT 'missing:path' AS code FROM rec WHERE coalesce(trim(path), '') = '' UNION ALL SELECT 'missing:fruit' FROM rec WHERE coalesce(trim(fruit), '') = '' UNION ALL SELECT 'missing:status' FROM rec WHERE coalesce(trim(status), '') = ''
+UNION ALL SELECT 'missing:source' FROM rec WHERE coalesce(trim(source), '') = '' UNION ALL SELECT 'missing:group_id' FROM rec WHERE grp IS NULL UNION ALL SELECT 'missing:sha256' FROM rec WHERE sha IS NULL
+UNION ALL SELECT 'unsafe_path' FROM rec WHERE coalesce(path, '') = '' OR starts_with(replace(path, '\', '/'), '/') OR contains(path, ':') OR contains(path, chr(0)) OR list_contains(string_split(replace(path, '\', '/'), '/'), '..')
+UNION ALL SELECT 'unsupported_label' FROM rec WHERE NOT coalesce(fruit IN ('apple', 'banana', 'orange', 'tomato') AND status IN ('fresh', 'rotten'), false)
+UNION ALL SELECT 'invalid_split' FROM rec WHERE part IS NOT NULL AND part NOT IN ('train', 'val', 'test')
+UNION ALL SELECT 'invalid_sha256' FROM rec WHERE NOT coalesce(regexp_full_match(sha, '[0-9a-f]{64}'), false)"""
+
 SQL = {
+    "csv_round_trip": f"WITH {REC} SELECT code, count(*) AS n FROM ({_BROKEN}) GROUP BY code",
     "ext_event_windows": "SELECT time_bucket(INTERVAL '1 day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "ext_event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS s FROM events),
 r AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM r GROUP BY user_id, k""",

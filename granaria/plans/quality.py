@@ -32,7 +32,9 @@ def p1_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_drift(spark: SparkSession, sf: str) -> DataFrame:
-    return _profile(spark, sf).drift
+    """What changed since the load before: null share, median, exact Kolmogorov-Smirnov distance, greatest shift of a word."""
+    shown = ("null_share_change", "median", "prev_median", "ks_distance", "share_shift")
+    return _profile(spark, sf).drift.select("load_id", "column_name", "prev_load_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in shown], "nulls_moved", "drifted")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,6 +98,16 @@ SELECT load_id, column_name, count(*) AS rows, count(*) FILTER (missing) AS null
   min(v) FILTER (ok) AS min_value, max(v) FILTER (ok) AS max_value,
   round(quantile_cont(v, 0.1) FILTER (ok) + 1e-9, 6) AS q10, round(quantile_cont(v, 0.25) FILTER (ok) + 1e-9, 6) AS q25, round(quantile_cont(v, 0.5) FILTER (ok) + 1e-9, 6) AS q50, round(quantile_cont(v, 0.75) FILTER (ok) + 1e-9, 6) AS q75, round(quantile_cont(v, 0.9) FILTER (ok) + 1e-9, 6) AS q90
 FROM vals LEFT JOIN (SELECT load_id, count(*) AS n FROM words GROUP BY ALL) USING (load_id) GROUP BY load_id, column_name""",
+    "p1_drift": f"""WITH {_LONG}, pairs AS (SELECT l.load_id, l.prev_load_id, c AS column_name FROM loads l CROSS JOIN (SELECT unnest(['brightness', 'blur_score', 'width', 'decode_status']) AS c) WHERE l.prev_load_id IS NOT NULL),
+steps AS (SELECT p.load_id, p.column_name, s.v, (s.load_id = p.load_id)::INT AS a, (s.load_id = p.prev_load_id)::INT AS b FROM pairs p JOIN vals s ON s.column_name = p.column_name AND s.load_id IN (p.load_id, p.prev_load_id) WHERE s.ok AND s.v IS NOT NULL),
+per AS (SELECT load_id, column_name, v, sum(a) AS a, sum(b) AS b FROM steps GROUP BY ALL),
+cum AS (SELECT load_id, column_name, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER x AS na, sum(b) OVER x AS nb FROM per WINDOW w AS (PARTITION BY load_id, column_name ORDER BY v), x AS (PARTITION BY load_id, column_name)),
+ks AS (SELECT load_id, column_name, max(abs(ca / na::DOUBLE - cb / nb::DOUBLE)) AS d FROM cum WHERE na > 0 AND nb > 0 GROUP BY ALL)
+SELECT p.load_id, p.column_name, p.prev_load_id, round(s.nulls / s.n_rows::DOUBLE - q.nulls / q.n_rows::DOUBLE + 1e-9, 6) AS null_share_change, round(s.med + 1e-9, 6) AS median, round(q.med + 1e-9, 6) AS prev_median, round(d + 1e-9, 6) AS ks_distance,
+  CASE WHEN p.column_name = 'decode_status' THEN round(shift + 1e-9, 6) END AS share_shift, abs(s.nulls * q.n_rows - q.nulls * s.n_rows) * 10 > s.n_rows * q.n_rows AS nulls_moved,
+  CASE WHEN p.column_name = 'decode_status' THEN coalesce(shift > 0.1, false) ELSE coalesce(s.med * 3 < q.med * 2 OR s.med * 2 > q.med * 3, false) END AS drifted
+FROM pairs p JOIN stats s ON s.load_id = p.load_id AND s.column_name = p.column_name JOIN stats q ON q.load_id = p.prev_load_id AND q.column_name = p.column_name
+LEFT JOIN ks ON ks.load_id = p.load_id AND ks.column_name = p.column_name LEFT JOIN moved m ON m.load_id = p.load_id""",
     "p4_found": _RECORDS + r"""SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT seven THEN 'columns' ELSE 'value' END AS reason FROM c WHERE NOT quoted OR NOT seven OR NOT good""",
     "p4_rows": _RECORDS.replace("good FROM f)", "good, f FROM f)") + """SELECT line_id, f[1] AS path, f[2] AS fruit, f[3] AS status, f[4] AS source, f[5] AS group_id, f[6] AS sha256, nullif(f[7], '') AS split FROM c WHERE quoted AND seven AND good""",
 }

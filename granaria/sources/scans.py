@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from granaria.functions.paths import FRUITS, STATES, file_name, folder_labels, slashed
 from granaria.functions.text import clean, norm
 from granaria.operators.rules import manifest_rules, repeated, require, violations
+from granaria.session import Workspace
 
 MANIFEST = ("path", "fruit", "status", "source", "group_id", "sha256", "split")
 OTHER = ("path", "category", "subcategory", "source", "group_id", "sha256", "split")
@@ -64,10 +65,16 @@ def scan_manifest(spark: SparkSession, path: str, allow_unsplit: bool = False, k
 
 
 def with_ordinal(rows: DataFrame, name: str = "manifest_index") -> DataFrame:
-    """Numbers rows from 0 in their order: partition sizes first, then positions inside partitions."""
-    spark = rows.sparkSession
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.LongType(), False)])
-    return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """Numbers rows from 0 in their order. The rows are written once with their partition and place in it; sums over the
+    partitions, a row each, turn places into ordinals."""
+    ws = Workspace(rows.sparkSession, "ordinal")
+    placed = ws.save(rows.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    first = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(first), "_part")
+    return numbered.select(*rows.columns, (F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def scan_unique(spark: SparkSession, path: str, key: str = "sha256") -> DataFrame:
@@ -90,7 +97,8 @@ def scan_locked(spark: SparkSession, folder: str, manifest: str = "manifest.csv"
     want = scan_json(spark, f"{folder}/{lock}", "files map<string,string>, counts array<struct<split:string,fruit:string,status:string,n:bigint>>")
     expected = want.select(F.explode("files").alias("file", "sha256"))
     names = [r["file"] for r in expected.collect()]  # a lock names a handful of files
-    require(compare_locks(expected, file_digests(spark, [f"{folder}/{n}" for n in names])), "locked file changed")
+    by_name = expected.select(file_name(F.col("file")).alias("file"), "sha256")
+    require(compare_locks(by_name, file_digests(spark, [f"{folder}/{n}" for n in names])), "locked file changed")
     rows = scan_manifest(spark, f"{folder}/{manifest}")
     found = rows.groupBy("split", "fruit", "status").agg(F.count(F.lit(1)).alias("n"))
     reported = want.select(F.explode("counts").alias("c")).select("c.*")

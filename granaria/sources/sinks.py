@@ -114,13 +114,16 @@ def export_manifest(collection: DataFrame, earlier: DataFrame, path: str, seed:
 
 
 def ingest(rows: DataFrame, existing: DataFrame, path: str) -> DataFrame:
-    """Validated rows merged into a collection and written; invalid rows are counted by code, and any fails at the end."""
-    from granaria.operators.merge import upsert
-    from granaria.operators.rules import counts_by_code, manifest_rules, violations
-
-    found = violations(rows, manifest_rules(allow_unsplit=True), "path")
-    good = rows.join(found.select("path").distinct(), "path", "left_anti")
-    merged = upsert(existing, good, "sha256", ["path", "fruit", "status"], ["split"], ["source", "group_id"])
+    """Validated rows merged into a collection and written; a digest keeps its label. Invalid rows are counted by code, and
+    any, or a digest under another label, fails at the end."""
+    from granaria.operators.merge import conflicts, upsert
+    from granaria.operators.rules import codes, counts_by_code, manifest_rules
+
+    flagged = rows.withColumn("_codes", codes(manifest_rules(allow_unsplit=True)))
+    good = flagged.where(F.size("_codes") == 0).drop("_codes")
+    labels = ["fruit", "status"]
+    merged = upsert(existing, good, "sha256", ["path", *labels], ["split"], ["source", "group_id"], guard=labels, order=["path"])
     merged.write.mode("errorifexists").json(path)
-    require(counts_by_code(found), "rows were rejected")
+    require(counts_by_code(flagged.select(F.explode("_codes").alias("code"))), "rows were rejected")
+    require(conflicts(existing, good, "sha256", labels), "labels differ")
     return merged

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from granaria.operators.rules import manifest_rules, violations
+from granaria.operators.rules import codes, manifest_rules
 
 
 def event_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_trigger: int = 1) -> DataFrame:
@@ -36,13 +36,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def admit_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes valid rows to ``out/rows`` and broken rules to ``out/problems``, one folder for each batch."""
+    """Writes valid rows to ``out/rows`` and broken rules to ``out/problems``, one folder for each batch. A row is judged by
+    itself: another row with its path, or a null path, changes nothing."""
 
     def admit(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        problems = violations(batch, manifest_rules(allow_unsplit=True), "path")
-        problems.write.mode("overwrite").parquet(f"{out}/problems/batch={number}")
-        batch.join(problems.select("path").distinct(), "path", "left_anti").write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-        batch.unpersist()
+        flagged = batch.withColumn("_codes", codes(manifest_rules(allow_unsplit=True))).persist()
+        flagged.select("path", F.explode("_codes").alias("code")).write.mode("overwrite").parquet(f"{out}/problems/batch={number}")
+        flagged.where(F.size("_codes") == 0).drop("_codes").write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        flagged.unpersist()
 
     return rows.writeStream.foreachBatch(admit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
