@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granaria.functions.text import path_key
-from granaria.operators.components import both_ways, canonical_edges, connected_components, save_counted, shortcut
+from granaria.operators.components import both_ways, canonical_edges, connected_components, find_hubs, join_hubs, save_counted, shortcut
 from granaria.session import Workspace
 
 
@@ -91,9 +91,10 @@ def group_links(links: DataFrame, enough: float = 0.125) -> DataFrame:
     parents = ws.save(parents, "parents")
     # a vertex that others point to and that was never removed is its own root
     tops = parents.select(F.col("p").alias("v")).distinct().join(parents.select("v"), "v", "left_anti").select("v", F.col("v").alias("p"))
-    rooted = shortcut(ws, ws.save(parents.unionByName(tops), "forest"), "restore")
+    forest, total = save_counted(ws, parents.unionByName(tops), "forest")
+    rooted = shortcut(ws, forest, "restore", total)
     smallest = rooted.groupBy("p").agg(F.min("v").alias("group"))
-    return rooted.join(smallest, "p").select("v", "group")
+    return join_hubs(rooted, smallest, "p", find_hubs(ws, rooted, "p", total, "hubs")).select("v", "group")
 
 
 def review_links(review: DataFrame, manifest: DataFrame) -> DataFrame:

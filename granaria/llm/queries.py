@@ -99,15 +99,16 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether each source's share lies within 0.02 of its target, or of it and the shares that sources without documents
-    leave to others, whether no document is used too often, and whether the sums of the mix agree with the report."""
+    """Whether each source's share lies within 0.02 and two of its longest documents of its target (and what sources without
+    documents leave to others), whether no document is used too often, and whether the sums of the mix agree with the report."""
     mix, shares = mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
-    whole = shares.agg(F.coalesce(F.sum(F.when(F.col("tokens_available") == 0, F.col("target_share"))), F.lit(0.0)).alias("lost"))
-    summed = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("sum"), F.max("uses").alias("most"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids"))
+    whole = shares.agg(F.coalesce(F.sum(F.when(F.col("tokens_available") == 0, F.col("target_share"))), F.lit(0.0)).alias("lost"), F.sum("tokens_used").alias("whole"))
+    summed = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("sum"), F.max("uses").alias("most"), F.max("tokens").alias("longest"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids"))
     j = shares.join(summed, "source", "left").crossJoin(F.broadcast(whole))
     has = F.col("tokens_available") > 0
     error = F.col("share") - F.col("target_share")
-    near = F.when(has, (error > -0.02) & (error < 0.02 + F.col("lost"))).otherwise(F.col("share") == 0)
+    slack = 0.02 + 2 * F.coalesce(F.try_divide("longest", "whole"), F.lit(0.0))
+    near = F.when(has, (error > -slack) & (error < slack + F.col("lost"))).otherwise(F.col("share") == 0)
     agree = (F.coalesce("sum", F.lit(0)) == F.col("tokens_used")) & (F.coalesce("rows", F.lit(0)) == F.coalesce("ids", F.lit(0))) & (F.col("tokens_used") <= F.col("tokens_available") * F.col("max_repeats"))
     return j.select("source", "max_repeats", has.alias("has_documents"), near.alias("near_target"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), agree.alias("sums_agree"))
 

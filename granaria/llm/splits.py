@@ -275,9 +275,11 @@ def split_shares(assigned: DataFrame, targets: dict[str, float]) -> DataFrame:
 
 def invariants(assigned: DataFrame, targets: dict[str, float]) -> DataFrame:
     """(stratum, split, stratum_records, on_target, whole_components): whether the split holds its share of the stratum to
-    the nearest record, and whether no component of the stratum lies in two splits."""
+    one record (strata of fewer than 100 records, whose groups are too coarse for that, are not held to it), and whether no
+    component of the stratum lies in two splits."""
     per = assigned.groupBy("component").agg(F.count_distinct("split").alias("splits"))
     broken = assigned.select("stratum", "component").distinct().join(per.where("splits != 1"), "component", "left_semi").groupBy("stratum").agg(F.count(F.lit(1)).alias("broken"))
     shares = split_shares(assigned, targets).join(assigned.groupBy("stratum").agg(F.count(F.lit(1)).alias("stratum_records")), "stratum").join(broken, "stratum", "left")
     near = F.abs(F.col("records") - F.col("target_share") * F.col("stratum_records")) <= 1
+    near = near | (F.col("stratum_records") < 100)
     return shares.select("stratum", "split", "stratum_records", near.alias("on_target"), F.col("broken").isNull().alias("whole_components"))
