@@ -111,3 +111,40 @@ def test_early_stop(spark):
     df = spark.createDataFrame(rows, "run string, step int, v double, t double").repartition(3)
     got = {r["run"]: (r["best_step"], r["stopped_at"]) for r in ordering.early_stop(df, "run", "step", "v", "t", patience=3).collect()}
     assert got == {"r": (2, 5), "s": (0, None)}
+
+
+def test_upsert_refuses_another_label(spark):
+    schema = "k string, id int, fruit string, split string, source string"
+    f = lambda rows: spark.createDataFrame(rows, schema)
+    old = f([("a", 1, "apple", "train", None), ("b", 2, "banana", "val", "s"), ("e", 3, None, None, None)])
+    new = f([("a", 9, "orange", "test", "t"), ("b", 8, "banana", "test", "t"), ("c", 7, "apple", "test", "x"), ("c", 6, "tomato", "val", "y"), ("d", 5, "apple", None, "z"), ("d", 4, "apple", "val", None), ("e", 2, "apple", "val", None)])
+    out = merge.upsert(old, new, "k", ["fruit"], ["split"], ["source"], guard=["fruit"], order=["id"])
+    got = {r["k"]: (r["fruit"], r["split"], r["source"], r["action"]) for r in out.collect()}
+    # a keeps its label, c is not inserted, d takes its first row as a whole, e had no label
+    assert got == {"a": ("apple", "train", None, "conflict"), "b": ("banana", "val", "s", "updated"), "d": ("apple", "val", None, "inserted"), "e": ("apple", None, None, "updated")}
+    found = {(r["k"], r["column_name"], r["existing"], r["least"], r["greatest"]) for r in merge.conflicts(old, new, "k", ["fruit"]).collect()}
+    assert found == {("a", "fruit", "apple", "orange", "orange"), ("c", "fruit", None, "apple", "tomato")}
+    assert merge.conflicts(old, new.limit(0), "k", ["fruit"]).count() == 0
+
+
+def test_record_key(spark):
+    rows = [("s", "u", "p"), ("", "u", "p"), (None, None, "p"), ("", "", None)]
+    df = spark.createDataFrame(rows, "s string, u string, p string")
+    assert [r[0] for r in df.select(merge.record_key(F.col("s"), F.col("u"), F.col("p"))).collect()] == ["sha256:s", "url:u", "path:p", None]
+
+
+def test_salted_ranks(spark):
+    rows = [(i, "hot" if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, c string").repartition(5)
+    order = F.sha2(F.col("i").cast("string"), 256)
+    got = {r["i"]: (r["_rank"], r["_n"]) for r in ordering.ranked(df, ["c"], order, "i").collect()}
+    for c in ("hot", None):
+        mine = sorted((i for i, k in rows if k == c), key=lambda i: hashlib.sha256(str(i).encode()).hexdigest())
+        assert all(got[i] == (n + 1, len(mine)) for n, i in enumerate(mine))
+    assert ordering.ranked(df.limit(0), ["c"], order, "i").count() == 0
+
+
+def test_older_freeze(spark):
+    rows = [(1, "g", "s", "test"), (2, "h", "s", None), (3, "k", None, None), (4, "m", "t", "train"), (5, "n", "t", "val")]
+    out = A.freeze_groups(spark.createDataFrame(rows, "id long, g string, s string, part string"), "id", "g", "s", "part")
+    assert {r["id"]: (r["split"], r["conflict"]) for r in out.collect()} == {1: ("test", False), 2: ("test", False), 3: ("train", False), 4: (None, True), 5: (None, True)}

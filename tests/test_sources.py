@@ -181,6 +181,47 @@ def test_streams(spark, sf, tmp_path):
     assert good + bad == man.select("path").distinct().count()
 
 
+def test_admission_judges_rows_by_themselves(spark, tmp_path):
+    """A null path is rejected and not loaded; a valid row beside a broken one of its path is loaded."""
+    row = lambda path, fruit, sha: (path, fruit, "fresh", "s", "g", sha, "train")
+    rows = [row(None, "apple", SHA[0]), row("a.jpg", "apple", SHA[1]), row("a.jpg", "kiwi", SHA[2])]
+    schema = "path string, fruit string, status string, source string, group_id string, sha256 string, split string"
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(str(tmp_path / "in"))
+    ev.admit_stream(ev.event_stream(spark, str(tmp_path / "in"), df, 10), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [r["sha256"] for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()] == [SHA[1]]
+    codes = {r["code"] for r in spark.read.parquet(str(tmp_path / "out" / "problems")).collect()}
+    assert {"missing:path", "unsupported_label"} <= codes
+    with pytest.raises(RuleError, match="rejected"):
+        sinks.ingest(df, df.limit(0), str(tmp_path / "c"))
+    assert [r["sha256"] for r in spark.read.json(str(tmp_path / "c")).collect()] == [SHA[1]]
+    other = spark.createDataFrame([row("a.jpg", "banana", SHA[1])], schema)
+    with pytest.raises(RuleError, match="labels differ"):
+        sinks.ingest(other, df.where("fruit = 'apple' and path is not null"), str(tmp_path / "d"))
+    assert [r["fruit"] for r in spark.read.json(str(tmp_path / "d")).collect()] == ["apple"]
+
+
+def test_a_local_folder_is_refused_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from granaria import session
+
+    def fake(master, folder=None):
+        conf = SimpleNamespace(get=lambda *a: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}", getConf=lambda: conf))
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(fake("spark://host:7077"))
+    assert session.shared_dir(fake("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert "granaria-" in session.shared_dir(fake("local[3]"))
+
+
+def test_ordinals_keep_the_order(spark):
+    rows = spark.range(1000).repartition(7).orderBy("id")
+    assert all(r["id"] == r["n"] for r in scans.with_ordinal(rows, "n").collect())
+    assert scans.with_ordinal(rows.limit(0)).count() == 0
+
+
 def test_workspaces(spark):
     import os
 

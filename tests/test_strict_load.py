@@ -92,6 +92,15 @@ def test_dialect_against_parser(spark, seed):
         assert got[i] == ("quoting" if f is None else "columns" if len(f) != 7 else "value"), repr(t)
 
 
+def test_a_broken_delivery_of_a_good_record_is_rejected(spark):
+    good = f"p/1.jpg,apple,fresh,s,g,{SHA},val"
+    rows = [(1, good), (1, '"broken'), (2, good), (2, good), (3, None), (None, good), (None, "a,b")]
+    out = strict_load(spark.createDataFrame(rows, "line_id long, raw_line string"))
+    assert sorted((x["line_id"], x["reason"]) for x in out.rejected.collect() if x["line_id"]) == [(1, "quoting"), (3, "columns")]
+    assert [x["reason"] for x in out.rejected.where("line_id is null").collect()] == ["columns"]
+    assert sorted((x["line_id"] or 0) for x in out.rows.collect()) == [0, 1, 2, 2]
+
+
 def test_empty(spark):
     out = strict_load(spark.createDataFrame([], "line_id long, raw_line string"))
     assert out.rows.count() == out.rejected.count() == 0
